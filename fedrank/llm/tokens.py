@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -63,12 +64,13 @@ def frequent_pieces(docs: DataFrame, size: int, block_count: int = 8, longest: i
     return [bytes(r.piece) for r in counted.orderBy(F.desc("n"), "piece").limit(size).collect()]
 
 
-def encode(docs: DataFrame, path: str, lexicon_size: int = 32768) -> DataFrame:
+def encode(docs: DataFrame, path: str, lexicon_size: int = 32768, decoded: bool = False) -> DataFrame:
     """Token ids of every text, from a minimal acyclic transducer of frequent words and exact merging of all others.
 
     The lexicon holds the corpus's ``lexicon_size`` most frequent words (a fixed size; it only saves work, as words that
     it lacks are merged with the same result) and is memory-mapped on each executor.  A special token's text gives its id.
-    Returns ``doc_id, ids array<int>``; null and empty texts have an empty array.
+    Returns ``doc_id, ids array<int>``, with ``decoded`` also ``text``, decoded from the ids in the same pass.  Null and
+    empty texts have an empty array.
     """
     docs = ragged.documents(docs)
     words = frequent_pieces(docs, lexicon_size)
@@ -77,7 +79,7 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 32768) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, coder = lexicon.opened(name), bpe.cache(path, "merge")
         known_ids = known.ids.astype(np.int32)
-        for block in ragged.blocks(batches):
+        for block in ragged.blocks(batches, 1 << 20):
             starts, ends = ragged.chunks(block.data, block.offs)
             rep, inv = ragged.fold(block.data, starts, ends)
             a, z = starts[rep], ends[rep]
@@ -92,28 +94,41 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 32768) -> DataFrame:
             ids = ragged.gather(np.concatenate([known_ids, flat]), at[inv], n[inv])
             counts = ragged.by_text(starts, block.offs, n[inv])
             offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.ListArray.from_arrays(pa.array(offs), pa.array(ids))], ["doc_id", "ids"])
+            cols = [pa.array(block.ids), pa.ListArray.from_arrays(pa.array(offs), pa.array(ids))]
+            if decoded:
+                cols.append(pa.array(decode_ids(path, ids, counts), pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "text"][: len(cols)])
+
+    return docs.mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+
+
+@functools.lru_cache(maxsize=2)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every id's bytes, flat, where they start and how many they are."""
+    table = bpe.merger(path).bytes_of
+    size = np.array([len(b) for b in table])
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size
+
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>")
+def decode_ids(path: str, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """Texts of flat ids, ``counts`` of them each; U+FFFD stands for what is no UTF-8."""
+    flat, start, size = byte_table(path)
+    size = size[ids]
+    raw = ragged.gather(flat, start[ids], size).tobytes()
+    cut = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``text`` to ``doc_id, ids``: the ids' bytes, with U+FFFD for what is no UTF-8.  Null or empty ids give an empty text."""
+    """Texts of ``doc_id, ids``, as ``doc_id, text``.  Null or empty ids give an empty text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bpe.merger(path).bytes_of
-        size = np.array([len(b) for b in table])
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                lists = part.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = part.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 n = pc.list_value_length(part.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)
-                raw = ragged.gather(flat, start[lists], size[lists]).tobytes()
-                cut = np.concatenate([[0], np.cumsum(size[lists])])[np.concatenate([[0], np.cumsum(n)])].tolist()
-                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(decode_ids(path, ids, n), pa.string())], ["doc_id", "text"])
 
     full = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return full.mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return full.mapInArrow(run, "doc_id long, text string")
