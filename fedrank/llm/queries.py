@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, quality, suffixes, tokens, windows
+from . import exact, hpy, packing, quality, suffixes, tokens, windows
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -40,6 +40,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpy.score(table(spark, sf_dir))
+
+
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(table(spark, sf_dir), width=100)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -59,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_bpe, op5_quality, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op3_bpe, op5_quality, op6_language_model, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
