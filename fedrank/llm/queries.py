@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hpy, packing, quality, suffixes, tokens, windows
+from . import exact, hpy, minhash, packing, quality, suffixes, tokens, windows
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -36,6 +36,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir), width=5, percent=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_bpe, op5_quality, op6_language_model, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op3_bpe, op4_minhash, op5_quality, op6_language_model, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
