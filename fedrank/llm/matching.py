@@ -29,7 +29,7 @@ from .ragged import U64
 
 PACKED = "bucket long, payload binary"
 #: Rows that a task gathers before it folds and sends them.
-FLUSH_ROWS = 1_500_000
+FLUSH_ROWS = 1_000_000
 #: Documents to a bucket in the steps that bring texts and spans together.
 BUCKET_DOCS = 500
 SIEVE_BITS = 1 << 26

@@ -63,7 +63,7 @@ def pack(docs: DataFrame, path: str, limit: int = 1024, linear: float = 1.0, qua
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, base = bpe.cache(path, "library"), TaskContext.get().partitionId() << SHIFT
-        for block in ragged.blocks(batches):
+        for block in ragged.blocks(batches, tokens.PIECE_BLOCK):
             ids, n = tokens.token_ids(block, coder)
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id).astype("<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Two odd multipliers, each with a table of random byte values: independent hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Bytes between words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -68,6 +68,8 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterat
             b = max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1)
             yield Block(ids[a:b], data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             a = b
+        del ids, data, offs, batch
+        pa.default_memory_pool().release_unused()
 
 
 class Powers:
@@ -80,7 +82,7 @@ class Powers:
 
     def need(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = 1 << max(20, (n - 1).bit_length())
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(n - 1, b, U64)])) for b in (self.base, self.inv))
 
 

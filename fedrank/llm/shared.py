@@ -24,10 +24,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: For tables of large binary values: a dictionary of them, or many rows to a group, would fill an executor's heap.
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4"}
+#: Texts reach Python in batches of this size at most.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
+    df.write.options(**(PLAIN if options is None else options)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ from . import matching, ragged, shared
 from .ragged import U64
 
 #: Text of the stretches that one suffix array covers, unless one anchor alone has more.
-ARRAY_BYTES = 2 << 20
+ARRAY_BYTES = 1 << 20
 
 
 def two_stage_sort(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -167,6 +167,7 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     gram = width // 2 + 1
     n_docs = docs.count()
     n_doc_buckets = matching.doc_buckets(n_docs)
+    shared.small_batches(docs.sparkSession)
     n_buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def anchors(block: ragged.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

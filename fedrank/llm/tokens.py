@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, lexicon, ragged
 
+#: Bytes of text whose equal pieces are looked up once.
+PIECE_BLOCK = 4 << 20
+
 
 def distinct_pieces(block: ragged.Block) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Starts of the block's pieces, the distinct ones' bytes, and the number of each piece's."""
@@ -38,7 +41,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.cache(path, "merge")
-        for block in ragged.blocks(batches):
+        for block in ragged.blocks(batches, PIECE_BLOCK):
             starts, pieces, inv = distinct_pieces(block)
             _, _, length = coder.get(pieces)
             n = ragged.by_text(starts, block.offs, length[inv])
@@ -54,7 +57,7 @@ def frequent_pieces(docs: DataFrame, size: int, block_count: int = 8, longest: i
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in ragged.blocks(batches):
+        for block in ragged.blocks(batches, PIECE_BLOCK):
             _, pieces, inv = distinct_pieces(block)
             n = np.bincount(inv, minlength=len(pieces))
             keep = [k for k in np.flatnonzero(n >= block_count).tolist() if len(pieces[k]) <= longest]
@@ -79,7 +82,7 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = 32768, decoded: bool
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, coder = lexicon.opened(name), bpe.cache(path, "merge")
         known_ids = known.ids.astype(np.int32)
-        for block in ragged.blocks(batches, 1 << 20):
+        for block in ragged.blocks(batches):
             starts, ends = ragged.chunks(block.data, block.offs)
             rep, inv = ragged.fold(block.data, starts, ends)
             a, z = starts[rep], ends[rep]
