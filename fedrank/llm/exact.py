@@ -82,6 +82,8 @@ def exact_groups(docs: DataFrame, normalised: Column | None = None, keep: str =
 
 
 def deduplicate(docs: DataFrame, normalised: Column | None = None, keep: str = "last") -> DataFrame:
-    """The rows of ``docs``, all columns, that exact_groups() keeps; of rows that are repeated as a whole one stays."""
-    kept = exact_groups(docs, normalised, keep).where("kept").select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(kept.distinct(), "doc_id", "left_semi")
+    """The rows of ``docs``, all columns, that exact_groups() keeps.  Of rows with one doc_id one stays; rows without go."""
+    groups = shared.stored(exact_groups(docs, normalised, keep), "groups", {})
+    left = shared.without(docs, groups.where(~F.col("kept")))
+    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id"])

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import ragged, shared
 from .ragged import U64
@@ -217,22 +219,44 @@ class Sieve:
         return test
 
 
-def marked(docs: DataFrame, sieve: Sieve, n_doc_buckets: int, yes: bool = True) -> DataFrame:
+def marked(docs: DataFrame, sieve: Sieve, n_doc_buckets: int, yes: bool = True, carry: list[str] | None = None) -> DataFrame:
     """``bucket, doc_id, text`` of the documents that pass the sieve, or else of those that don't."""
     test = sieve.tester()
+    docs = ragged.documents(docs, carry)
+    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             keep = test(ids) == yes
             part = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets_of(ids[keep], n_doc_buckets)), part.column("doc_id"), part.column("text")], ["bucket", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets_of(ids[keep], n_doc_buckets)), *(part.column(c) for c in names)], ["bucket", *names])
 
-    return ragged.documents(docs).mapInArrow(run, "bucket long, doc_id long, text string")
+    return docs.mapInArrow(run, "bucket long, " + fields(docs))
 
 
-def with_text(texts: DataFrame, packed: DataFrame, kinds: str, run: Callable[[ragged.Block, Columns], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies ``run`` to each bucket of documents and the packed rows about them, which come sorted by doc_id."""
+def fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def carried(batch: pa.RecordBatch, out: list[pa.RecordBatch], carry: list[str]) -> list[pa.RecordBatch]:
+    """``out``, made of the batch's rows in their order, with the columns to carry."""
+    if not carry or not out:
+        return out
+    whole = pa.Table.from_batches(out)
+    for c in carry:
+        whole = whole.append_column(c, batch.column(c))
+    return whole.combine_chunks().to_batches()
+
+
+def with_text(
+    texts: DataFrame, packed: DataFrame, kinds: str, run: Callable[[ragged.Block, Columns], Iterator[pa.RecordBatch]], schema: str, carry: list[str] | None = None
+) -> DataFrame:
+    """Applies ``run`` to each bucket of documents and the packed rows about them, which come sorted by doc_id.
+
+    With ``carry``, ``run`` must give a row for each document, in their order.
+    """
+    schema += "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry or [])
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         cols = [np.concatenate(c) for c in zip(*(unpack(p, kinds) for p in right.column("payload").to_pylist()), strict=True)] or [np.zeros(0, k) for k in kinds.split()]
@@ -240,13 +264,9 @@ def with_text(texts: DataFrame, packed: DataFrame, kinds: str, run: Callable[[ra
         cols = [c[order] for c in cols]
         out = []
         for batch in left.combine_chunks().to_batches():
-            for block in ragged.blocks([batch]):
-                out += run(block, cols)
+            out += carried(batch, [x for block in ragged.blocks([batch]) for x in run(block, cols)], carry or [])
         return pa.Table.from_batches(out, schema=arrow_schema) if out else arrow_schema.empty_table()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
     return texts.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(each, schema)
 

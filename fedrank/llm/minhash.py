@@ -392,3 +392,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame
     full = shared.join_salted(sig.where("n > 0").select("doc_id", "n", "digest"), named.select("digest", "label"), "digest", hot_sets, F.col("doc_id"))
     rows = full.select("doc_id", "n", "label").union(sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("label")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), (F.col("doc_id") == F.col("label")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, of the smallest doc_id of each near_groups() component."""
+    return shared.without(docs, near_groups(docs, width, percent).where(~F.col("kept")))

@@ -28,11 +28,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """The two columns every operator reads, in the shape it expects."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(
-        F.col("doc_id").isNotNull()
-    )
+def documents(df: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The two columns every operator reads, in the shape it expects, and those named in ``carry``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text, *(carry or [])).where(F.col("doc_id").isNotNull())
 
 
 @dataclass

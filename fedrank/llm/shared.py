@@ -53,3 +53,9 @@ def join_salted(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, sal
     copies = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     copied = right.join(hot, key, "left").withColumn("salt", F.explode(copies)).drop("hot")
     return dealt.join(copied, [key, "salt"], how).drop("salt")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not in ``ids`` (one column ``doc_id``); few are broadcast, more are joined."""
+    ids = stored(ids.select("doc_id").distinct(), "ids", {})
+    return docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)

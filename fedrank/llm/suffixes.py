@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import matching, ragged, shared
 from .ragged import U64
@@ -153,7 +154,7 @@ def unpack_fragments(raw: bytes) -> tuple[matching.Columns, np.ndarray]:
     return matching.unpack(raw[8:end], FRAGMENT), np.frombuffer(raw, np.uint8, offset=end)
 
 
-def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None = None) -> DataFrame:
     """Removes each byte covered by a string of ``width`` bytes that also starts earlier: in a smaller doc_id, or before in the same document.
 
     Strings are judged on the input; matches never cross documents.  Windows with one anchor form a run; a run whose anchor
@@ -163,7 +164,9 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary): spans are maximal runs of removed bytes.  Null and empty
     texts have no bytes.  Rows with equal doc_id count as one document: they don't remove each other.
+    Columns named in ``carry`` come along.
     """
+    carry = carry or []
     gram = width // 2 + 1
     n_docs = docs.count()
     n_doc_buckets = matching.doc_buckets(n_docs)
@@ -291,8 +294,28 @@ def remove_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def plain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in ragged.blocks(batches):
-            yield from result(block, None)
+        for batch in batches:
+            yield from matching.carried(batch, [x for block in ragged.blocks([batch]) for x in result(block, None)], carry)
 
-    changed = matching.with_text(matching.marked(docs, found, n_doc_buckets), spans, "<i8 <u4 <u4", result, schema)
-    return matching.marked(docs, found, n_doc_buckets, yes=False).mapInArrow(plain, schema).unionByName(changed)
+    changed = matching.with_text(matching.marked(docs, found, n_doc_buckets, carry=carry), spans, "<i8 <u4 <u4", result, schema, carry)
+    same = matching.marked(docs, found, n_doc_buckets, yes=False, carry=carry)
+    more = "".join(f", `{c}` {same.schema[c].dataType.simpleString()}" for c in carry)
+    return same.mapInArrow(plain, schema + more).unionByName(changed)
+
+
+def deduplicate(docs: DataFrame, width: int = 100) -> DataFrame:
+    """``docs``, all columns, with what remove_repeats() leaves of their texts, and n_chars, if there is one, counted anew.
+
+    A character that is removed in part is removed.  Rows without doc_id go.
+    """
+
+    def text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [raw.decode("utf-8", "ignore") for raw in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row")], ["text", "row"])
+
+    row = docs.select("doc_id", "text", F.struct("*").alias("row"))
+    kept = remove_repeats(row, width, carry=["row"]).select("kept", "row")
+    cut = kept.mapInArrow(text, f"text string, row {kept.schema['row'].dataType.simpleString()}")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return cut.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
