@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, hpy, minhash, packing, quality, suffixes, tokens, windows
+from . import exact, hpy, lines, minhash, packing, quality, suffixes, tokens, windows
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -26,6 +26,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.deduplicate_lines(table(spark, sf_dir), percent=90)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = tokens.encode(table(spark, sf_dir), vocabulary(), decoded=True)
     return both.select(
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_bpe, op4_minhash, op5_quality, op6_language_model, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_line_dedup, op3_bpe, op4_minhash, op5_quality, op6_language_model, op7_suffix_array, op8_exact_dedup, op9_substring_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
