@@ -6,11 +6,12 @@
    one class, so copies never meet each other.
 2. Bands of four registers put classes into groups.  A group gives a star of
    links to try, not all its pairs.
-3. Groups whose members are still in several components try a second star around
-   the member nearest to the group's most common registers, and then those pairs
-   across components whose estimated similarity, corrected for chance agreement
-   of registers, leaves a link possible.
-4. Links are confirmed on whole sets, brought together once for each pair.
+3. Of groups whose members are still in several components, small ones try those
+   pairs across components whose estimated similarity, corrected for chance
+   agreement of registers, leaves a link possible.  Large ones try a second star,
+   around the member nearest to the group's most common registers, and then
+   members that share a difference from that hub.
+4. Links are confirmed on whole sets, or by whole differences from one set.
 
 Links between classes that are already connected need not be tried: components
 are the same without them.
@@ -36,7 +37,9 @@ CHANCE = 1 / 3 / (1 << MANTISSA)
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
 #: Members of a group that one task compares.
-PART = 2048
+PART = 4096
+#: Groups of at most so many members try pairs, larger ones differences from a hub.
+FEW = 32
 
 
 def shingle_sets(block: ragged.Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,11 +172,12 @@ def first_stars(classes: DataFrame, n_buckets: int) -> DataFrame:
     return matching.grouped(packed, meet, EDGE).where("a <> b").distinct()
 
 
-def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
-    """Those of the distinct ``a, b`` whose whole sets have 100 * intersection >= percent * union.
+def brought(docs: DataFrame, edges: DataFrame, width: int, n_docs: int, compare, schema: str) -> DataFrame:
+    """Applies ``compare`` to the whole sets of the distinct ``a, b``: hubs ``a`` and, for each, their members ``b``.
 
     Sets are made from the texts of the classes concerned only.  A member's set is sent once for each of its edges; a hub's
-    once for every PART members, so a frequent hub is dealt over many tasks.
+    once for every PART members, so a frequent hub is dealt over many tasks.  ``compare`` gets a hub, its set (sorted), and
+    its members with their sets, flat.
     """
     degree = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).cast("long").alias("parts"))
     keyed = shared.stored(edges.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "edges", {})
@@ -196,7 +200,7 @@ def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs:
         if not len(row):
             return
         h, of, size = shingle_sets(block, width)
-        order = np.argsort(of, kind="stable")
+        order = np.lexsort((h, of))
         h, begin = h[order], np.cumsum(size) - size
         hub, part = cols[1][index], cols[2][index]
         key = ragged.mix(ragged.mix(hub.view(U64)) + part.astype(U64))
@@ -206,7 +210,7 @@ def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs:
             rows.append((b, head + ragged.gather(h, a, n).tobytes()))
         yield matching.packed_batch(rows)
 
-    def compare(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def each(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         heads, data = [], []
         for p in payloads:
             n = int.from_bytes(p[:8], "little")
@@ -215,23 +219,130 @@ def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs:
             data.append(np.frombuffer(p, U64, offset=end))
         key, hub, doc, size = (np.concatenate(c) for c in zip(*heads, strict=True))
         h, size = np.concatenate(data), size.astype(np.int64)
-        own = hub == doc
         begin = np.cumsum(size) - size
-        mixed = ragged.mix(h + np.repeat(ragged.mix(key), size))
-        known = np.sort(mixed[ragged.spread(begin[own], size[own])])
-        hub_size = dict(zip(key[own].tolist(), size[own].tolist(), strict=True))
-        at = np.flatnonzero(~own)
-        if not len(at) or not len(known):
-            return
-        found = mixed[ragged.spread(begin[at], size[at])]
-        hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found
-        inter = np.bincount(np.repeat(np.arange(len(at)), size[at]), weights=hit, minlength=len(at)).astype(np.int64)
-        other = np.array([hub_size.get(k, 0) for k in key[at].tolist()], np.int64)
-        ok = 100 * inter >= percent * (size[at] + other - inter)
-        yield edge_batch(hub[at][ok], doc[at][ok])
+        order = np.argsort(key, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1, [len(key)]])
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            k = order[x:y]
+            own, rest = k[hub[k] == doc[k]], k[hub[k] != doc[k]]
+            if len(own) and len(rest):
+                yield from compare(int(hub[own[0]]), h[begin[own[0]] : begin[own[0]] + size[own[0]]], doc[rest], size[rest], ragged.gather(h, begin[rest], size[rest]))
 
     moved = matching.with_text(texts, wanted, kinds, sets, matching.PACKED)
-    return shared.stored(matching.grouped(moved, compare, EDGE).distinct(), "confirmed", {})
+    return matching.grouped(moved, each, schema)
+
+
+def is_member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array ``known``, not empty, has."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
+    """Those of the distinct ``a, b`` whose whole sets have 100 * intersection >= percent * union."""
+
+    def compare(hub: int, hub_set: np.ndarray, doc: np.ndarray, size: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        inter = np.bincount(np.repeat(np.arange(len(doc)), size), weights=is_member(sets, hub_set), minlength=len(doc)).astype(np.int64)
+        ok = 100 * inter >= percent * (size + len(hub_set) - inter)
+        if ok.any():
+            yield edge_batch(np.full(int(ok.sum()), hub), doc[ok])
+
+    return shared.stored(brought(docs, edges, width, n_docs, compare, EDGE).distinct(), "confirmed", {})
+
+
+def difference_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
+    """Links among the members of large groups, without trying all their pairs.
+
+    With a hub's set H, the sets A and B differ by |A - H| + |B - H| less twice what these two differences share.  If they
+    share nothing and A and B are linked, then both are linked to H (their differences are small), so they are connected
+    already.  All other links therefore share an element of their differences, and members meet under such elements only.
+    An element that the hub lacks comes before those that it has, so that by prefix filtering a member goes under few of the
+    common ones.  Differences are short, and decide a link exactly.
+    """
+    p = percent
+
+    def differ(hub: int, hub_set: np.ndarray, doc: np.ndarray, size: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.cumsum(size) - size
+        deltas, first = [], []
+        for a, n in zip(at.tolist(), size.tolist(), strict=True):
+            own = sets[a : a + n]
+            more, less = own[~is_member(own, hub_set)], hub_set[~is_member(hub_set, own)]
+            delta = np.concatenate([more, less])
+            # a partner B has |B| <= |A| * 100 / p, so a difference from A of at most ``most``; it shares all but that of A's
+            most = int((100 - p) * (n + n * 100 / p) // (100 + p))
+            deltas.append(delta.tobytes())
+            first.append(len(delta) - max(1, len(delta) - most) + 1 if len(delta) else 0)
+        cols = [pa.array(np.full(len(doc), hub)), pa.array(doc), pa.array(size), pa.array(np.array(first, np.int64)), pa.array(deltas, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["hub", "doc_id", "n", "prefix", "delta"])
+
+    schema = "hub long, doc_id long, n long, prefix long, delta binary"
+    rows = shared.stored(brought(docs, stars, width, n_docs, differ, schema), "differences", {})
+    rows = rows.join(labels, rows.doc_id == labels.node, "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "prefix", "delta")
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, prefix = batch.column("hub").to_numpy(), batch.column("prefix").to_numpy()
+            row = np.repeat(np.arange(len(hub)), prefix)
+            parts = [np.frombuffer(d, U64)[:n] for d, n in zip(batch.column("delta").to_pylist(), prefix.tolist(), strict=True)]
+            element = np.concatenate([np.zeros(0, U64), *parts])
+            key = ragged.mix(element + ragged.mix(hub[row].view(U64))).view(np.int64)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(take) for c in ("doc_id", "label", "n", "delta"))], ["key", "doc_id", "label", "n", "delta"])
+
+    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, label, n = (table[c].to_numpy() for c in ("doc_id", "label", "n"))
+        if len(doc) < 2 or label.min() == label.max():
+            return
+        parts = [np.frombuffer(d, U64) for d in table["delta"].to_pylist()]
+        size = np.array([len(x) for x in parts])
+        element, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
+        rep, inv = ragged.dedupe(element)
+        common = np.bincount(inv) > 1
+        column = np.cumsum(common) - 1
+        some = common[inv]
+        incidence = np.zeros((len(doc), max(1, int(common.sum()))), np.float32)
+        incidence[owner[some], column[inv[some]]] = 1
+        reached = np.zeros(len(doc), bool)
+        for root in range(len(doc)):  # a spanning forest of the links
+            todo = [] if reached[root] else [root]
+            reached[root] = True
+            while todo:
+                i = todo.pop()
+                far = size[i] + size - 2 * (incidence @ incidence[i]).astype(np.int64)
+                new = np.flatnonzero(~reached & ((100 - p) * (n[i] + n) >= (100 + p) * far))
+                if len(new):
+                    reached[new] = True
+                    todo += new.tolist()
+                    yield edge_batch(np.full(len(new), doc[i]), doc[new])
+
+    keyed = rows.mapInArrow(spread, "key long, doc_id long, label long, n long, delta binary")
+    return shared.stored(by_group(keyed.repartition("key").sortWithinPartitions("key"), ["key"], each).distinct(), "difference-links", {})
+
+
+def by_group(rows: DataFrame, keys: list[str], run) -> DataFrame:
+    """Applies ``run`` to the rows of each key, which are together and in order; gives ``a, b``."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [batch.column(k).to_numpy() for k in keys]
+            change = np.zeros(len(batch) - 1, bool)
+            for c in cols:
+                change |= c[1:] != c[:-1]
+            cut = (np.flatnonzero(change) + 1).tolist()
+            for a, z in zip([0, *cut], [*cut, len(batch)], strict=True):
+                key = tuple(int(c[a]) for c in cols)
+                if held and key != now:
+                    yield from run(pa.Table.from_batches(held))
+                    held = []
+                now = key
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(each, EDGE)
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,9 +405,11 @@ def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes
     return named.mapInArrow(members, "key long, doc_id long, label long, registers binary"), hot
 
 
-def group_links(rows: DataFrame, hot: dict[int, int], percent: int, pairs: bool) -> DataFrame:
-    """Links to try within bands: around the member nearest to the most common registers, or with ``pairs`` all across
-    components that the estimate leaves possible.  Large bands are cut into parts, or pairs of parts."""
+def group_links(rows: DataFrame, hot: dict[int, int], percent: int, mode: str) -> DataFrame:
+    """Links to try within bands.  ``tries``: in groups of FEW at most, all pairs across components that the estimate leaves
+    possible; in larger ones those with the member nearest to the most common registers.  ``hubs``: in larger groups, that
+    member with every other.  Very large bands are cut into pairs of parts, so that any two members meet."""
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array(sorted(hot), np.int64)
         counts = np.array([hot[k] for k in sorted(hot)], np.int64)
@@ -307,58 +420,38 @@ def group_links(rows: DataFrame, hot: dict[int, int], percent: int, pairs: bool)
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 n = np.where(keys[at] == key, counts[at], 1)
             part = (ragged.mix(doc.view(U64)) % n.astype(U64)).astype(np.int64)
-            copies = n if pairs else np.ones(len(n), np.int64)
-            row = np.repeat(np.arange(len(n)), copies)
-            other = ragged.spread(np.zeros(len(n), np.int64), copies) if pairs else part
+            row = np.repeat(np.arange(len(n)), n)
+            other = ragged.spread(np.zeros(len(n), np.int64), n)
             low, high = np.minimum(part[row], other), np.maximum(part[row], other)
             yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(low << 32 | high), *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "label", "registers"))], ["key", "part", "doc_id", "label", "registers"])
 
-    def links(doc: np.ndarray, label: np.ndarray, reg: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        def possible(sim: np.ndarray, used: np.ndarray) -> np.ndarray:
-            t = percent / 100
-            return sim >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-
-        if not pairs:
-            score = np.zeros(len(doc), np.int64)
-            for k in range(REGISTERS):
-                _, inv, n = np.unique(reg[:, k], return_inverse=True, return_counts=True)
-                score += inv == np.argmax(n)
-            hub = int(np.argmax(score))
-            keep = possible(*estimate(reg, reg[hub])) & (label != label[hub])
-            yield np.full(int(keep.sum()), doc[hub]), doc[keep]
+    def possible(sim: np.ndarray, used: np.ndarray) -> np.ndarray:
+        t = percent / 100
+        return sim >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+
+    def links(doc: np.ndarray, label: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(doc) <= FEW:
+            x, y = np.nonzero(possible(*estimate(reg[:, None], reg[None])) & (label[:, None] < label[None]))
+            return doc[x], doc[y]
+        score = np.zeros(len(doc), np.int64)
+        for k in range(REGISTERS):
+            _, inv, n = np.unique(reg[:, k], return_inverse=True, return_counts=True)
+            score += inv == np.argmax(n)
+        hub = int(np.argmax(score))
+        keep = possible(*estimate(reg, reg[hub])) & (label != label[hub]) if mode == "tries" else np.arange(len(doc)) != hub
+        return np.full(int(keep.sum()), doc[hub]), doc[keep]
+
+    def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy()
+        if len(doc) < 2 or label.min() == label.max() or mode == "hubs" and len(doc) <= FEW:
             return
-        step = max(1, (1 << 18) // len(doc))
-        for a in range(0, len(doc), step):
-            keep = possible(*estimate(reg[a : a + step, None], reg[None, a:])) & (label[a : a + step, None] != label[None, a:])
-            x, y = np.nonzero(keep)
-            yield doc[a + x], doc[a + y]
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy()
-            if len(doc) > 1 and label.min() != label.max():
-                reg = register_matrix(table["registers"])
-                for a, b in links(doc, label, reg):
-                    if len(a):
-                        yield edge_batch(np.minimum(a, b), np.maximum(a, b))
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-                if held and (held[-1].column("key")[0].as_py(), held[-1].column("part")[0].as_py()) != (int(key[a]), int(part[a])):
-                    yield from done(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, z - a))
-        if held:
-            yield from done(pa.Table.from_batches(held))
+        a, b = links(doc, label, register_matrix(table["registers"]))
+        if len(a):
+            # a star's hub stays first
+            yield edge_batch(a, b) if mode == "hubs" else edge_batch(np.minimum(a, b), np.maximum(a, b))
 
     dealt = rows.mapInArrow(deal, "key long, part long, doc_id long, label long, registers binary")
-    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(each, EDGE).distinct()
+    return by_group(dealt.repartition("key", "part").sortWithinPartitions("key", "part"), ["key", "part"], each).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
@@ -380,12 +473,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame
     n_classes = classes.count()
     links = confirm(docs, first_stars(classes, n_buckets), width, percent, n_docs)
     labels = components.components(links)
-    for pairs in (False, True):
+    for mode in ("tries", "hubs"):
         rows, hot = open_groups(classes, labels, n_buckets, n_classes)
-        more = shared.stored(group_links(rows, hot, percent, pairs), "tries", {})
+        more = shared.stored(group_links(rows, hot, percent, mode), "tries", {})
         if more.isEmpty():
             continue
-        links = links.union(confirm(docs, more, width, percent, n_docs))
+        found = difference_links(docs, more, labels, width, percent, n_docs) if mode == "hubs" else confirm(docs, more, width, percent, n_docs)
+        links = links.union(found)
         labels = components.components(links)
     named = sets.join(labels, sets.rep == labels.node, "left").select("digest", "copies", F.coalesce("label", "rep").alias("label"))
     hot_sets = shared.hot_keys(sets, "digest", "copies", n_docs)
