@@ -167,7 +167,7 @@ def _stats(rows: str) -> str:
 ALLOWED_HITS = f"ahits AS (SELECT hits.* FROM hits WHERE engine <> 'brave'), asett AS (SELECT * FROM s WHERE engine <> 'brave')"
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 BODY = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
-EVENTS = "e AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+EVENTS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 DAY = 86_400_000
 
 
