@@ -196,7 +196,7 @@ class PieceCache:
     """Encoded pieces by their bytes.  It holds the first ``most`` different ones, frequent ones come early; the rest are
     encoded again in each block, so results never depend on it."""
 
-    def __init__(self, encode: Callable[[Sequence[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[Sequence[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 150_000):
         self.encode, self.most = encode, most
         self.index: dict[bytes, int] = {}
         self.flat, self.start, self.len = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)

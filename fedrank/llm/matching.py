@@ -108,7 +108,7 @@ ANCHOR = "<u8 <i8 <u4 <u4"
 DIRECT = 1 << 40
 
 
-def screen(docs: DataFrame, anchors: Callable[[ragged.Block], tuple[np.ndarray, np.ndarray, np.ndarray]], across: bool, n_buckets: int, n_doc_buckets: int, block: int = 1 << 20) -> DataFrame:
+def screen(docs: DataFrame, anchors: Callable[[ragged.Block], tuple[np.ndarray, np.ndarray, np.ndarray]], across: bool, n_buckets: int, n_doc_buckets: int) -> DataFrame:
     """Places (``doc_id``, ``place``) whose anchor occurs twice, in two documents if ``across``; packed by document bucket, types ``<i8 <u4``.
 
     ``anchors`` gives hashes, the row of the block they are in, and places.  Rows with bucket -1 hold anchors' hashes and
@@ -141,7 +141,7 @@ def screen(docs: DataFrame, anchors: Callable[[ragged.Block], tuple[np.ndarray,
             for a in range(0, len(rows), 4096):
                 yield packed_batch(rows[a : a + 4096])
 
-        for part in ragged.blocks(batches, block):
+        for part in ragged.blocks(batches):
             h, row, place = anchors(part)
             if len(h):
                 held.append((h, part.ids[row], place.astype(np.uint32)))
@@ -219,8 +219,8 @@ class Sieve:
         return test
 
 
-def marked(docs: DataFrame, sieve: Sieve, n_doc_buckets: int, yes: bool = True, carry: list[str] | None = None) -> DataFrame:
-    """``bucket, doc_id, text`` of the documents that pass the sieve, or else of those that don't."""
+def marked(docs: DataFrame, sieve: Sieve, n_doc_buckets: int, carry: list[str] | None = None) -> DataFrame:
+    """``bucket, doc_id, text`` of the documents that pass the sieve."""
     test = sieve.tester()
     docs = ragged.documents(docs, carry)
     names = docs.columns
@@ -228,7 +228,7 @@ def marked(docs: DataFrame, sieve: Sieve, n_doc_buckets: int, yes: bool = True,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = test(ids) == yes
+            keep = test(ids)
             part = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([pa.array(buckets_of(ids[keep], n_doc_buckets)), *(part.column(c) for c in names)], ["bucket", *names])
 
@@ -271,6 +271,19 @@ def with_text(
     return texts.groupBy("bucket").cogroup(packed.groupBy("bucket")).applyInArrow(each, schema)
 
 
+def unmarked(docs: DataFrame, sieve: Sieve, run: Callable[[ragged.Block, None], Iterator[pa.RecordBatch]], schema: str, carry: list[str] | None = None) -> DataFrame:
+    """Applies ``run``, which gives a row for each document, to the documents that don't pass the sieve.  One Python stage."""
+    test = sieve.tester()
+    docs = ragged.documents(docs, carry)
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(~test(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))))
+            yield from carried(part, [x for block in ragged.blocks([part]) for x in run(block, None)], carry or [])
+
+    return docs.mapInArrow(each, schema + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry or []))
+
+
 def rows_of(block: ragged.Block, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each document of the block, which of the rows sorted by ``docs`` are about it: pairs (row of block, index), flat."""
     a, z = np.searchsorted(docs, block.ids, "left"), np.searchsorted(docs, block.ids, "right")

@@ -352,8 +352,9 @@ def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (same / np.maximum(used, 1) - CHANCE) / (1 - CHANCE), used
 
 
-def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes: int) -> tuple[DataFrame, dict[int, int]]:
-    """Rows ``key, part, doc_id, label, registers`` of the bands whose members are in several components, and how many parts large ones have."""
+def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes: int):
+    """The classes with labels, a function from batches of them to rows ``key, doc_id, label, registers`` of the bands whose
+    members are in several components, and how many parts large bands have."""
     named = classes.join(labels, classes.doc_id == labels.node, "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "registers")
     named = shared.stored(named, "named", {})
     kinds = "<u8 <i8 <i8 <u4"
@@ -402,10 +403,10 @@ def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes
                 [pa.array(key), batch.column("doc_id").take(pa.array(row)), batch.column("label").take(pa.array(row)), batch.column("registers").take(pa.array(row))], ["key", "doc_id", "label", "registers"]
             )
 
-    return named.mapInArrow(members, "key long, doc_id long, label long, registers binary"), hot
+    return named, members, hot
 
 
-def group_links(rows: DataFrame, hot: dict[int, int], percent: int, mode: str) -> DataFrame:
+def group_links(named: DataFrame, members, hot: dict[int, int], percent: int, mode: str) -> DataFrame:
     """Links to try within bands.  ``tries``: in groups of FEW at most, all pairs across components that the estimate leaves
     possible; in larger ones those with the member nearest to the most common registers.  ``hubs``: in larger groups, that
     member with every other.  Very large bands are cut into pairs of parts, so that any two members meet."""
@@ -413,7 +414,7 @@ def group_links(rows: DataFrame, hot: dict[int, int], percent: int, mode: str) -
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array(sorted(hot), np.int64)
         counts = np.array([hot[k] for k in sorted(hot)], np.int64)
-        for batch in batches:
+        for batch in members(batches):
             key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
             n = np.ones(len(key), np.int64)
             if len(keys):
@@ -450,7 +451,7 @@ def group_links(rows: DataFrame, hot: dict[int, int], percent: int, mode: str) -
             # a star's hub stays first
             yield edge_batch(a, b) if mode == "hubs" else edge_batch(np.minimum(a, b), np.maximum(a, b))
 
-    dealt = rows.mapInArrow(deal, "key long, part long, doc_id long, label long, registers binary")
+    dealt = named.mapInArrow(deal, "key long, part long, doc_id long, label long, registers binary")
     return by_group(dealt.repartition("key", "part").sortWithinPartitions("key", "part"), ["key", "part"], each).distinct()
 
 
@@ -474,8 +475,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame
     links = confirm(docs, first_stars(classes, n_buckets), width, percent, n_docs)
     labels = components.components(links)
     for mode in ("tries", "hubs"):
-        rows, hot = open_groups(classes, labels, n_buckets, n_classes)
-        more = shared.stored(group_links(rows, hot, percent, mode), "tries", {})
+        more = shared.stored(group_links(*open_groups(classes, labels, n_buckets, n_classes), percent, mode), "tries", {})
         if more.isEmpty():
             continue
         found = difference_links(docs, more, labels, width, percent, n_docs) if mode == "hubs" else confirm(docs, more, width, percent, n_docs)

@@ -53,7 +53,7 @@ def assign(lengths: np.ndarray, limit: int, linear: float, quadratic: float) ->
 def pack(docs: DataFrame, path: str, limit: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, end_id: int = 0) -> DataFrame:
     """Packs every document's ids, with ``end_id`` after them, into sequences of at most ``limit`` tokens.
 
-    Documents are packed in blocks of about 4 MB of text within the partition that reads them: there is no shuffle, memory
+    Documents are packed in blocks of about 1 MB of text within the partition that reads them: there is no shuffle, memory
     is bounded by a block, and a block leaves one sequence with padding at most.  A partition's sequences are numbered from
     its number times 2**36, so a task that runs again gives the same rows.
 

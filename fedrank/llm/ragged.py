@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Two odd multipliers, each with a table of random byte values: independent hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BLOCK_BYTES = 1 << 20
+#: A little less than a power of two, up to which tables of powers are made.
+BLOCK_BYTES = (1 << 20) - 64
 
 #: Bytes between words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)

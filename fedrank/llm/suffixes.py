@@ -8,7 +8,7 @@ known.  Common prefixes of neighbours then show which windows are equal.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +154,7 @@ def unpack_fragments(raw: bytes) -> tuple[matching.Columns, np.ndarray]:
     return matching.unpack(raw[8:end], FRAGMENT), np.frombuffer(raw, np.uint8, offset=end)
 
 
-def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Removes each byte covered by a string of ``width`` bytes that also starts earlier: in a smaller doc_id, or before in the same document.
 
     Strings are judged on the input; matches never cross documents.  Windows with one anchor form a run; a run whose anchor
@@ -164,7 +164,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None =
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary): spans are maximal runs of removed bytes.  Null and empty
     texts have no bytes.  Rows with equal doc_id count as one document: they don't remove each other.
-    Columns named in ``carry`` come along.
+    Columns named in ``carry`` come along.  With ``as_text`` what is kept is a column ``text``, without characters that were
+    removed in part.
     """
     carry = carry or []
     gram = width // 2 + 1
@@ -289,18 +290,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None =
         flat = block.data[~out].tobytes()
         cut = np.concatenate([[0], np.cumsum(size - removed)]).tolist()
         kept = [flat[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(size), pa.array(removed), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        left = pa.array([raw.decode("utf-8", "ignore") for raw in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(size), pa.array(removed), pa.array(spans), left], ["doc_id", "n_bytes", "n_removed", "n_spans", "text" if as_text else "kept"])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("text string" if as_text else "kept binary")
 
-    def plain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from matching.carried(batch, [x for block in ragged.blocks([batch]) for x in result(block, None)], carry)
-
-    changed = matching.with_text(matching.marked(docs, found, n_doc_buckets, carry=carry), spans, "<i8 <u4 <u4", result, schema, carry)
-    same = matching.marked(docs, found, n_doc_buckets, yes=False, carry=carry)
-    more = "".join(f", `{c}` {same.schema[c].dataType.simpleString()}" for c in carry)
-    return same.mapInArrow(plain, schema + more).unionByName(changed)
+    changed = matching.with_text(matching.marked(docs, found, n_doc_buckets, carry), spans, "<i8 <u4 <u4", result, schema, carry)
+    return matching.unmarked(docs, found, result, schema, carry).unionByName(changed)
 
 
 def deduplicate(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -308,14 +304,7 @@ def deduplicate(docs: DataFrame, width: int = 100) -> DataFrame:
 
     A character that is removed in part is removed.  Rows without doc_id go.
     """
-
-    def text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [raw.decode("utf-8", "ignore") for raw in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("row")], ["text", "row"])
-
     row = docs.select("doc_id", "text", F.struct("*").alias("row"))
-    kept = remove_repeats(row, width, carry=["row"]).select("kept", "row")
-    cut = kept.mapInArrow(text, f"text string, row {kept.schema['row'].dataType.simpleString()}")
+    cut = remove_repeats(row, width, carry=["row"], as_text=True)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return cut.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import bpe, lexicon, ragged
 
 #: Bytes of text whose equal pieces are looked up once.
-PIECE_BLOCK = 4 << 20
+PIECE_BLOCK = ragged.BLOCK_BYTES
 
 
 def distinct_pieces(block: ragged.Block) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
 
 def frequent_pieces(docs: DataFrame, size: int, block_count: int = 8, longest: int = 64) -> list[bytes]:
-    """The ``size`` most frequent pieces of the corpus, counted where they come ``block_count`` times in a block of 4 MB.
+    """The ``size`` most frequent pieces of the corpus, counted where they come ``block_count`` times in a block of 1 MB.
 
     At most ``size`` rows reach the driver.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +125,5 @@ def remove_shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
 
     schema = "doc_id long, n_words long, n_removed long, text string"
 
-    def plain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in ragged.blocks(batches):
-            yield from result(block, None)
-
     changed = matching.with_text(matching.marked(docs, found, n_doc_buckets), matches, "<i8 <u4", result, schema)
-    return matching.marked(docs, found, n_doc_buckets, yes=False).mapInArrow(plain, schema).unionByName(changed)
+    return matching.unmarked(docs, found, result, schema).unionByName(changed)
