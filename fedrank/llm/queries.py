@@ -76,9 +76,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
-
-
+    return {"op4_minhash": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+
+
+WORDS_SQL = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM d, range(1, greatest(len(ws) - 3, 2)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS o FROM d UNION SELECT r.doc_id, y FROM r JOIN links ON o = x),
+c AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY ALL)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS ws FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM d, range(1, len(ws) - 48) t(i)),
+hits AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hits, range(i, i + 50) t(p)),
+kept AS (SELECT d.doc_id, count(*) AS n, string_agg(ws[p], ' ' ORDER BY p) AS k FROM d, range(1, len(ws) + 1) t(p) ANTI JOIN gone ON gone.doc_id = d.doc_id AND gone.p = t.p GROUP BY ALL)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
