@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 
+#: So many distinct links, once counted, are joined by one task; more go by rounds over all executors.
+TASK_LINKS = 200_000
+
+
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of links, and the smallest node of each one's component."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (label[x], label[y]):  # a group's name takes the smaller of its neighbours' names
+            np.minimum.at(new, side, low)
+        new = new[new]
+        new = np.minimum(new, new[label])
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if held:
+            node, label = labelled(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
+
+    return shared.stored(edges.coalesce(1).mapInArrow(run, "node long, label long"), "labels", {})
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of the undirected links ``a, b``: the smallest node that can be reached.
 
@@ -15,6 +50,8 @@ def components(links: DataFrame) -> DataFrame:
     groups; the number of rounds is logarithmic for the stars and chains that occur.  Each round is stored.
     """
     edges = shared.stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", {})
+    if edges.count() <= TASK_LINKS:
+        return in_one_task(edges)
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))

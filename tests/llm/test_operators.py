@@ -81,7 +81,10 @@ def test_cost_balance():
     assert sum(n for _, _, n, _, _ in pieces) == 24 and len({q for *_, q, _ in pieces}) == 3
 
 
-def test_line_dedup(table, plain):
+@pytest.mark.parametrize("few", [1, 256])
+def test_line_dedup(table, plain, few, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", few)
+
     def simhash(form):
         raw = np.frombuffer(form.encode(), np.uint8)
         return int(lines.Lines(ragged.Block(np.array([0]), raw, np.array([0, len(raw)]))).simhash()[0])
@@ -104,6 +107,23 @@ def test_near_duplicates(table, plain, few, monkeypatch):
     assert len({want[i][1] for i in range(55, 63)}) == 1
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components(spark, most, monkeypatch):
+    import random
+
+    from fedrank.llm import components
+
+    monkeypatch.setattr(components, "TASK_LINKS", most)
+    r = random.Random(3)
+    links = [(r.randint(-50, 150), r.randint(-50, 150)) for _ in range(90)] + [(k, k + 1) for k in range(200, 260)] + [(5, 5)]
+    u = brute.Union({n for x in links for n in x})
+    for a, b in links:
+        u.join(a, b)
+    got = {x.node: x.label for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: u.find(n) for a, b in links if a != b for n in (a, b)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_quality(table, plain, labels):
     got = by_id(quality.score(table, labels))
     for i, text in plain.items():
