@@ -81,7 +81,7 @@ def test_cost_balance():
     assert sum(n for _, _, n, _, _ in pieces) == 24 and len({q for *_, q, _ in pieces}) == 3
 
 
-@pytest.mark.parametrize("few", [1, 256])
+@pytest.mark.parametrize("few", [1, 1024])
 def test_line_dedup(table, plain, few, monkeypatch):
     monkeypatch.setattr(lines, "FEW", few)
 
