@@ -27,7 +27,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.deduplicate_lines(table(spark, sf_dir), percent=90, rule=lines.MINHASH)
+    kept = lines.deduplicate_lines(table(spark, sf_dir), percent=90, rule=lines.MINHASH, short=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
