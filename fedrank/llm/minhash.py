@@ -451,8 +451,9 @@ def group_links(named: DataFrame, members, hot: dict[int, int], percent: int, mo
             # a star's hub stays first
             yield edge_batch(a, b) if mode == "hubs" else edge_batch(np.minimum(a, b), np.maximum(a, b))
 
+    # by doc_id too, so that of members with equal registers the same one is the hub in both modes
     dealt = named.mapInArrow(deal, "key long, part long, doc_id long, label long, registers binary")
-    return by_group(dealt.repartition("key", "part").sortWithinPartitions("key", "part"), ["key", "part"], each).distinct()
+    return by_group(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id"), ["key", "part"], each).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
