@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +15,32 @@ HOT_SHARE = 1 / 1000
 SALTS = 64
 #: At most so many rows of a few dozen bytes are broadcast, after they have been counted.
 BROADCAST_ROWS = 200_000
+_LEAVING: set[str] = set()
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; where it names none, as in tests, a new local one."""
+    """A folder of this application in the one that the session names for checkpoints; it goes when the application ends.
+
+    Where none is named, as in tests, a local one is made, unless executors run elsewhere: they could not see it.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
+    path = f"{where.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    if path not in _LEAVING:
+        files(spark, path)[0].deleteOnExit(files(spark, path)[1])
+        _LEAVING.add(path)
+    return path
+
+
+def files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the JVM has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 #: For tables of large binary values: a dictionary of them, or many rows to a group, would fill an executor's heap.
@@ -38,7 +57,22 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     """Writes the rows to the shared folder and reads them from there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(PLAIN if options is None else options)).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing will read again, and the shuffle files that no plan refers to any more."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        held, path = _PATHS.pop(id(t), (None, None))
+        if held is not None and held() is t:
+            fs, where = files(spark, path)
+            fs.delete(where, True)
+    del t, tables
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
