@@ -64,13 +64,12 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
 
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of stored() that nothing will read again, and the shuffle files that no plan refers to any more."""
-    spark = tables[0].sparkSession
+    spark = SparkSession.active()
     for t in tables:
         held, path = _PATHS.pop(id(t), (None, None))
         if held is not None and held() is t:
             fs, where = files(spark, path)
             fs.delete(where, True)
-    del t, tables
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -39,13 +39,13 @@ def test_encode_and_decode(table, plain, encoded, vocabulary):
     assert {i: r.text for i, r in by_id(tokens.decode(both.select("doc_id", "ids"), vocabulary)).items()} == plain
 
 
-def test_lexicon_is_exact_and_minimal():
+def test_lexicon_is_exact_and_minimal(tmp_path):
     from fedrank.llm import lexicon
 
     words = sorted({b"tap", b"taps", b"top", b"tops", b"stop", b"s"})
     counts = np.arange(1, len(words) + 1)
     content = lexicon.compile_lexicon(words, np.arange(counts.sum()), counts)
-    path = "/tmp/lexicon-test.bin"
+    path = str(tmp_path / "lexicon.bin")
     with open(path, "wb") as f:
         f.write(content)
     x = lexicon.Lexicon(path)
@@ -137,38 +137,6 @@ def test_quality_without_labels(table, labels):
     assert all(r.score == 0 for r in quality.score(table, labels.where("false")).collect())
 
 
-def test_language_model(table, plain):
-    want = brute.unigram(plain)
-    got = by_id(hpy.score(table))
-    for i, (out, n, known, total, base) in want.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out, n, known, total)
-        assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score < 0
-    train = [r for i, r in got.items() if not want[i][0]]
-    assert sum(r.score for r in train) > sum(r.base_score for r in train)
-
-
-def test_spelling_sums_to_one():
-    data = np.frombuffer(b"abracadabra", np.uint8)
-    flat, lens = hpy.with_end(data, np.array([5, 6]))
-    cells, n = np.unique(hpy.cells_of(flat, lens), return_counts=True)
-    model = hpy.Spelling.sample(cells, n, 0, 1)
-    assert model.parent.sum(1) == pytest.approx(np.ones(256))
-    for context in np.unique(cells >> 8):
-        p = np.array([model.escape[context] * model.parent[context >> hpy.CONTEXT_BITS, b] for b in range(256)])
-        here = cells >> 8 == context
-        p[cells[here] & 255] = model.value[here]
-        assert p.sum() == pytest.approx(1)
-
-
-def test_gibbs_seats():
-    rng = np.random.default_rng(0)
-    counts = np.array([0, 1, 2, 5, 24, 400])
-    t = np.mean([hpy.gibbs(counts, np.full(6, 2.0), 0.5, 2, rng) for _ in range(200)], axis=0)
-    assert t[0] == 0 and t[1] == 1 and all(np.diff(t) > 0) and (t <= counts).all()
-
-
 @pytest.mark.parametrize("width", [16, 100])
 def test_suffix_array(table, plain, width):
     want = brute.repeats(plain, width)
