@@ -103,24 +103,22 @@ def edit(a, b):
     return row[-1]
 
 
-def line_removals(docs, simhash, percent=90, shortest=20):
-    """doc_id -> (lines, removed line numbers)"""
+def line_removals(docs, percent=90, shortest=20):
+    """doc_id -> (lines, removed line numbers), all pairs of lines by edit distance alone."""
     places, count = defaultdict(list), {}
     for i in sorted(docs):
         count[i] = 0
         for k, line in enumerate(docs[i].split("\n")):
             w = words(re.sub("[0-9]+", "0", line.translate(LOW)))
             count[i] += bool(w)
-            form = " ".join(w)
-            if w and len(form.encode()) >= shortest:
-                places[form].append((i, k))
+            if w:
+                places[" ".join(w)].append((i, k))
     forms = list(places)
-    sims = [simhash(f) for f in forms]
     u = Union(range(len(forms)))
-    for a in range(len(forms)):
-        for b in range(a + 1, len(forms)):
-            longer = max(len(forms[a]), len(forms[b]))
-            if bin(sims[a] ^ sims[b]).count("1") <= 3 and edit(forms[a], forms[b]) <= longer * (100 - percent) // 100:
+    for a, x in enumerate(forms):
+        for b, y in enumerate(forms[:a]):
+            most = max(len(x), len(y)) * (100 - percent) // 100
+            if min(len(x.encode()), len(y.encode())) >= shortest and abs(len(x) - len(y)) <= most and sum((Counter(x) - Counter(y)).values()) <= most and edit(x, y) <= most:
                 u.join(a, b)
     groups = defaultdict(list)
     for n, f in enumerate(forms):
@@ -129,4 +127,4 @@ def line_removals(docs, simhash, percent=90, shortest=20):
     for g in groups.values():
         for i, k in sorted(g)[1:]:
             gone[i].add(k)
-    return {i: (count[i], gone[i]) for i in docs}
+    return {i: (count[i], gone[i]) for i in docs}
\ No newline at end of file

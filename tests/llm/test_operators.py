@@ -82,11 +82,7 @@ def test_cost_balance():
 
 
 def test_line_dedup(table, plain):
-    def simhash(form):
-        raw = np.frombuffer(form.encode(), np.uint8)
-        return int(lines.Lines(ragged.Block(np.array([0]), raw, np.array([0, len(raw)]))).simhash()[0])
-
-    want = brute.line_removals(plain, simhash)
+    want = brute.line_removals({i: t for i, t in plain.items()})
     got = by_id(lines.deduplicate_lines(table))
     for i, (n, gone) in want.items():
         kept = "\n".join(x for k, x in enumerate(plain[i].split("\n")) if k not in gone)
@@ -121,6 +117,20 @@ def test_components(spark, most, monkeypatch):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_few_turns(spark, monkeypatch):
+    """A chain of ascending nodes, without the one task that joins few links."""
+    from fedrank.llm import components
+
+    monkeypatch.setattr(components, "TASK_LINKS", 0)
+    turns = []
+    real = components.hooked
+    monkeypatch.setattr(components, "hooked", lambda edges, turn: turns.append(turn) or real(edges, turn))
+    chain = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components.components(chain)
+    assert got.where("label = 0").count() == got.count() == 10_001
+    assert len(turns) < 20
+
+
 def test_quality(table, plain, labels):
     got = by_id(quality.score(table, labels))
     for i, text in plain.items():
