@@ -1,9 +1,11 @@
 """Exact duplicates by a log-structured index of digests.  DataFrame operations only.
 
-* *Memtable and flush*: each scan task's rows, as (digest, doc_id), sorted by digest, become one run: a Parquet file whose
-  row groups hold the digests' ranges and Bloom filters, so a lookup of a digest skips runs that cannot hold it.
-* *Compaction*: runs merge by digest into one entry with the smallest and the largest identifier and the number of rows.
-  A run's own copies fold before they are shuffled.
+* *Memtable and flush*: each scan task's rows, as (digest, doc_id), sorted by digest, become one run: a Parquet file.
+* *Filters*: a digest has a place in a bitmap of 16 bits or more for each row.  Entries of all runs are counted by place, a
+  run's own ones folded before, and places with one entry are clear in the filter.
+* *Compaction*: a run's entry is probed in the filter.  Where the place is clear no other entry has the digest, so the row is
+  alone and never moves; the others merge by digest into one entry with the smallest and the largest identifier and the
+  number of rows.
 * *Verification*: digests with several rows are hits; their texts are compared byte by byte, by grouping on digest and
   text.  Should different texts share a digest, each text is a group of its own.
 """
@@ -16,10 +18,40 @@ from pyspark.sql import functions as F
 from . import ragged, shared
 
 
+#: Bits of the filter for each row, at least, and of a piece of it.
+BITS_A_ROW, PIECE = 16, 32768
+#: Pieces of 4 KB of the filter that are broadcast at most; a larger filter is joined piece by piece.
+BROADCAST_PIECES = 2048
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def flush(docs: DataFrame, normalised: Column) -> DataFrame:
-    """Writes the sorted digest runs of all documents, with filters; returns ``digest, doc_id``."""
-    rows = docs.select(F.unhex(F.sha2(normalised, 256)).alias("digest"), "doc_id").sortWithinPartitions("digest", "doc_id")
-    return shared.stored(rows, "runs", {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"})
+    """Writes the sorted digest runs of all documents; returns ``digest, doc_id``."""
+    return shared.stored(docs.select(digest(normalised).alias("digest"), "doc_id").sortWithinPartitions("digest", "doc_id"), "runs", {})
+
+
+def place(bits: int) -> Column:
+    """A digest's place in a filter of ``bits``."""
+    return F.pmod(F.xxhash64("digest"), F.lit(bits))
+
+
+def filters(runs: DataFrame, bits: int) -> DataFrame:
+    """Pieces of the filter: ``piece, seen``, a bitmap of the places that several entries share.  Pieces without any are left out."""
+    shared_ = runs.groupBy(place(bits).alias("place")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return shared_.groupBy(F.floor(F.col("place") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("place") % PIECE).alias("seen"))
+
+
+def probe(runs: DataFrame, pieces: DataFrame, bits: int, n_pieces: int) -> DataFrame:
+    """``runs`` with ``again``: whether another entry may have the digest.  Never wrongly false."""
+    placed = runs.withColumn("place", place(bits)).withColumn("piece", F.floor(F.col("place") / PIECE))
+    joined = placed.join(F.broadcast(pieces) if n_pieces <= BROADCAST_PIECES else pieces, "piece", "left")
+    bit = F.col("place") % PIECE
+    byte = F.conv(F.hex(F.substr("seen", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.floor(F.col("byte") / F.pow(F.lit(2), bit % 8)) % 2 == 1
+    return joined.withColumn("byte", byte).select("digest", "doc_id", F.coalesce(set_, F.lit(False)).alias("again"))
 
 
 def compact(runs: DataFrame) -> DataFrame:
@@ -32,7 +64,7 @@ def verified(docs: DataFrame, normalised: Column, hits: DataFrame, hot: DataFram
 
     Copies fold within each task before the last shuffle, so a hot text costs a row a task.
     """
-    keyed = docs.select("doc_id", normalised.alias("text"), F.unhex(F.sha2(normalised, 256)).alias("digest"))
+    keyed = docs.select("doc_id", normalised.alias("text"), digest(normalised).alias("digest"))
     if n_hits <= shared.BROADCAST_ROWS:
         found = keyed.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
     else:
@@ -51,26 +83,32 @@ def exact_groups(docs: DataFrame, normalised: Column | None = None, keep: str =
     docs = ragged.documents(docs)
     normalised = F.col("text") if normalised is None else normalised
     runs = flush(docs, normalised)
-    entries = shared.stored(compact(runs).where(F.col("n") > 1), "entries")
-    n_rows, n_hits = runs.count(), entries.count()
+    n_rows = runs.count()
+    bits = max(PIECE, 1 << (BITS_A_ROW * n_rows - 1).bit_length())
+    pieces = shared.stored(filters(runs, bits), "filter", {})
+    probed = shared.stored(probe(runs, pieces, bits, pieces.count()), "probed", {})
+    entries = shared.stored(compact(probed.where("again")).where(F.col("n") > 1), "entries")
+    n_hits = entries.count()
     hot = shared.hot_keys(entries, "digest", "n", n_rows)
     checked = shared.stored(verified(docs, normalised, entries, hot, n_hits), "verified")
+    shared.drop(runs, pieces)
     kept = F.col("first_id" if keep == "first" else "last_id")
     whole = checked.where(F.col("texts") == 1).select("digest", kept.alias("keep_id"), F.col("n").alias("group_size"))
     torn = checked.where(F.col("texts") > 1).select("digest")
+    alone = probed.where("NOT again").select("digest", "doc_id", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    merged = probed.where("again").select("digest", "doc_id")
     if torn.isEmpty():
-        rows = runs
+        rows = merged
     else:  # different texts with one digest: these rows are grouped by their texts
-        keyed = docs.select("doc_id", normalised.alias("text"), F.unhex(F.sha2(normalised, 256)).alias("digest")).join(torn, "digest", "left_semi")
+        keyed = docs.select("doc_id", normalised.alias("text"), digest(normalised).alias("digest")).join(torn, "digest", "left_semi")
         groups = keyed.groupBy("digest", "text").agg((F.min if keep == "first" else F.max)("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         apart = keyed.join(groups, ["digest", "text"]).select("digest", "doc_id", "keep_id", "group_size")
-        rows = runs.join(torn, "digest", "left_anti")
+        rows = merged.join(torn, "digest", "left_anti")
     if n_hits <= shared.BROADCAST_ROWS:
         joined = rows.join(F.broadcast(whole), "digest", "left")
     else:
         joined = shared.join_salted(rows, whole, "digest", hot, F.col("doc_id"))
-    if rows is not runs:
-        joined = joined.unionByName(apart)
+    joined = alone.unionByName(joined) if rows is merged else alone.unionByName(joined).unionByName(apart)
     keep_id = F.coalesce("keep_id", "doc_id")
     return joined.select(
         "doc_id",
