@@ -3,7 +3,9 @@
 import re
 import zlib
 from collections import Counter, defaultdict
-from math import log10
+from math import log, log10
+
+import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -84,6 +86,40 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
 
 
+def signed_hash(*parts, seed=42):
+    """The engine's 64-bit hash of strings, longs, and (as b"") four-byte numbers one after another."""
+    for p in parts:
+        seed = xxhash.xxh64(p.encode() if isinstance(p, str) else p if isinstance(p, bytes) else p.to_bytes(8, "little", signed=True), seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def likelihood_ratios(docs, labels, buckets, smoothing=0.5):
+    """doc_id -> mean log ratio, and the threshold, from labels of one half each."""
+    kinds = defaultdict(set)
+    for i, q in labels:
+        if i is not None and q is not None:
+            kinds[i].add(q)
+    known = {i: q == {1} for i, q in kinds.items() if len(q) == 1 and i in docs}
+    half = {i: signed_hash(i, (1).to_bytes(4, "little")) % 2 for i in known}
+    grams = {}
+    for i, text in docs.items():
+        h = [signed_hash(w) for w in words(text)]
+        grams[i] = [x % buckets for x in h] + [signed_hash(a, b) % buckets for a, b in zip(h, h[1:])]
+    every = Counter(g for x in grams.values() for g in x)
+    good = Counter(g for i, x in grams.items() if known.get(i) and half[i] == 0 for g in x)
+    n, m, prior = sum(every.values()), sum(good.values()), smoothing * buckets
+    weight = lambda b: log((good[b] + prior * (p := (every[b] + smoothing) / (n + prior))) / (m + prior) / p) if m else 0.0
+    scores = {i: sum(map(weight, x)) / len(x) if x else 0.0 for i, x in grams.items()}
+    mine = sorted((scores[i], known[i]) for i in known if half[i] == 1)
+    yes, no = sum(k for _, k in mine), sum(not k for _, k in mine)
+    best, threshold = 1.0, float("-inf")
+    for (a, _), (b, _) in zip(mine, mine[1:]):
+        value = sum(k for s, k in mine if s >= b) / yes + sum(not k for s, k in mine if s < b) / no if yes and no else 0
+        if a < b and value > best + 1e-9:
+            best, threshold = value, (a + b) / 2
+    return scores, threshold
+
+
 def unigram(docs):
     """doc_id -> (held out, tokens, known, N, base score)"""
     out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in docs}

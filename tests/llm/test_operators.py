@@ -131,20 +131,43 @@ def test_components_in_few_turns(spark, monkeypatch):
     assert len(turns) < 20
 
 
-def test_quality(table, plain, labels):
-    got = by_id(quality.score(table, labels))
+@pytest.mark.parametrize("buckets", [64, 1 << 16])
+def test_quality(table, plain, labels, buckets):
+    got = by_id(quality.score(table, labels, buckets=buckets))
+    scores, threshold = brute.likelihood_ratios(plain, [(r.doc_id, r.quality) for r in labels.collect()], buckets)
     for i, text in plain.items():
         r, want = got[i], brute.quality_counts(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        assert r.kept == (not r.base_failed and r.score >= -0.75)
-    kept = quality.keep(table, labels)
+        assert r.score == pytest.approx(scores[i], abs=1e-5)
+        assert r.kept == (not r.base_failed and r.score >= threshold) or abs(scores[i] - threshold) < 1e-5
+    kept = quality.keep(table, labels, buckets=buckets)
     assert kept.columns == table.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
 
 
 def test_quality_without_labels(table, labels):
-    assert all(r.score == 0 for r in quality.score(table, labels.where("false")).collect())
+    assert all(r.score == 0 and r.kept != r.base_failed for r in quality.score(table, labels.where("false")).collect())
+
+
+def test_threshold():
+    assert quality.best_threshold([(0.1, True), (0.2, True)]) == quality.best_threshold([]) == -np.inf
+    assert quality.best_threshold([(-3.0, False), (-1.0, False), (0.0, True), (2.0, True)]) == -0.5
+    assert quality.best_threshold([(1.0, False), (1.0, True), (3.0, True)]) == 2.0
+
+
+def test_quality_on_labels_apart(spark):
+    """Junk of other words is told from prose by labels that neither the weights nor the threshold have seen."""
+    import random
+
+    r = random.Random(2)
+    words = [["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(150)] for _ in range(2)]
+    docs = {i: " ".join(r.choice(words[i % 4 == 0 and r.random() < 0.7]) for _ in range(80)) for i in range(600)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)], "doc_id long, quality int")
+    got = by_id(quality.score(frame, labels))
+    right = sum(got[i].kept == (i % 4 > 0) for i in range(300, 600))
+    assert right >= 295
 
 
 @pytest.mark.parametrize("width", [16, 100])
@@ -189,6 +212,28 @@ def test_exact(table, plain):
             assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (k, len(groups[t]), i == k, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_exact_with_colliding_digests(table, plain, monkeypatch):
+    """Texts that share a digest are groups of their own."""
+    monkeypatch.setattr(exact, "digest", lambda text: F.unhex(F.left(F.sha2(text, 256), F.lit(2))))
+    for keep, best in (("last", max), ("first", min)):
+        got = by_id(exact.exact_groups(table, keep=keep))
+        for i, t in plain.items():
+            same = [k for k, x in plain.items() if x == t]
+            assert (got[i].keep_id, got[i].group_size) == (best(same), len(same))
+
+
+@pytest.mark.parametrize("most", [-1, 10**6])
+def test_filter_probes(spark, monkeypatch, most):
+    """Every entry whose digest occurs again is found, others rarely; small pieces, joined or broadcast."""
+    monkeypatch.setattr(exact, "PIECE", 64)
+    monkeypatch.setattr(exact, "BROADCAST_PIECES", most)
+    runs = spark.range(3000).select(F.unhex(F.sha2(F.greatest("id", F.lit(200)).cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"))
+    bits = 1 << 16
+    pieces = exact.filters(runs, bits)
+    again = {r.doc_id for r in exact.probe(runs, pieces, bits, pieces.count()).where("again").collect()}
+    assert again >= set(range(201)) and len(again) < 201 + 300
+
+
 def test_exact_with_joins_and_hot_groups(table, plain, monkeypatch):
     """The ways for more hits than are broadcast, and for hot groups."""
     monkeypatch.setattr(exact.shared, "BROADCAST_ROWS", -1)
