@@ -20,8 +20,8 @@ def collapse(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Zero-width spaces go; six entities are decoded, ``&amp;`` first, so a doubly encoded one is decoded twice; runs of white space are one blank."""
-    out = F.regexp_replace(text, "​", "")
+    """The entity of the zero-width space goes; six entities are decoded, ``&amp;`` first, so a doubly encoded one is decoded twice; runs of white space are one blank."""
+    out = F.regexp_replace(text, "(?i)&#x200B;", "")
     for name, plain in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", " ")):
         out = F.regexp_replace(out, f"(?i)&{name};", plain)
     return trim(F.regexp_replace(out, BLANK + "{2,}", " "))

@@ -44,9 +44,16 @@ def registrable_domain(url: Column) -> Column:
 
 
 def without_params(query: Column, names: list[str] | tuple[str, ...] = tuple(rules.TRACKING)) -> Column:
-    """A query string without the named parameters, wherever they occur; the others stay as they are."""
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(list(names)))
-    return F.array_join(kept, "&")
+    """A query string without the named parameters, wherever they occur.  The others are decoded and written anew as forms
+    are: a blank as ``+``, a name without a value with ``=``, so spellings of one value agree.  What can't be decoded stays."""
+    name = lambda p: form_decode(F.substring_index(p, "=", 1))
+    value = lambda p: form_decode(F.when(F.contains(p, F.lit("=")), F.substr(p, F.locate("=", p) + 1)).otherwise(""))
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(list(names)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(name(p)), F.lit("="), F.url_encode(value(p)))), "&")
+
+
+def form_decode(text: Column) -> Column:
+    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
 
 def dedup_key(url: Column, parsed: Column | None = None) -> Column:
@@ -73,9 +80,11 @@ def unwrap_ddg(href: Column) -> Column:
 
 
 def unwrap_bing(href: Column) -> Column:
-    """The target of a tracking link, whose parameter ``u`` is two characters and URL-safe base64; others stay."""
+    """The target of a tracking link, whose parameter ``u`` is two characters and URL-safe base64; others stay.  Decoded bytes
+    are characters of ISO 8859-1, as in the HTML reader."""
     code = F.substr(param(href, "u"), F.lit(3))
-    text = F.try_to_binary(F.rpad(F.translate(code, "-_", "+/"), (F.ceil(F.length(code) / 4) * 4).cast("int"), "="), F.lit("base64")).cast("string")
+    text = F.try_to_binary(F.rpad(F.translate(code, "-_", "+/"), (F.ceil(F.length(code) / 4) * 4).cast("int"), "="), F.lit("base64"))
+    text = F.decode(text, "ISO-8859-1")
     return F.when(href.contains("bing.com/ck/a") & text.startswith("http"), text).otherwise(href)
 
 

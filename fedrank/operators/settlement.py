@@ -123,17 +123,16 @@ def answers(serp: DataFrame, settlement: DataFrame, queries: DataFrame, await_ba
     settlement = settlement.join(use, ["query_id", "engine"], "left_semi")
     serp = serp.join(settlement.where("ok").select("query_id", "engine"), ["query_id", "engine"], "left_semi")
     moments = fast_path(settlement, serp, queries)
-
-    def phase(name: str, until: DataFrame) -> DataFrame:
-        rows = serp.join(until.select("query_id", "resolve_ms"), "query_id").where("arrival_ms <= resolve_ms").drop("resolve_ms")
-        stats = engine_stats(settlement, rows, queries, until, enable_brave)
-        packed = stats.select("query_id", "partial", F.struct("attempted", "completed", "failed", "pending", "counts", "errors").alias("stats"))
-        out = merge.envelopes(merge.rank_results(rows, queries), queries, packed).join(until.select("query_id", F.col("resolve_ms").alias("elapsed_ms"), "intent"), "query_id")
-        return out.select("query_id", F.lit(name).alias("phase"), "results", "total", "partial", "stats", "elapsed_ms", "intent")
-
-    final = phase("final", moments.withColumn("resolve_ms", F.greatest("resolve_ms", "settled_all")))
-    if await_background:
-        return final
-    fast = phase("fast", moments)
-    more = moments.where("settled_all > resolve_ms").select("query_id")
-    return fast.unionByName(final.join(more, "query_id", "left_semi"))
+    last = F.greatest("resolve_ms", "settled_all")
+    fast, final = (F.struct(F.lit(name).alias("phase"), at.alias("elapsed_ms")) for name, at in (("fast", F.col("resolve_ms")), ("final", last)))
+    phases = F.array(final) if await_background else F.when(F.col("settled_all") > F.col("resolve_ms"), F.array(fast, final)).otherwise(F.array(fast))
+    # a phase of a search is ranked as if it were a search of its own, so both go through one merge
+    key = F.struct("query_id", "p.phase", "p.elapsed_ms", "intent")
+    runs = moments.withColumn("p", F.explode(phases)).select("query_id", key.alias("key"))
+    keyed = lambda rows: rows.join(runs, "query_id").drop("query_id").withColumnRenamed("key", "query_id")
+    in_time = lambda rows: keyed(rows).where(F.col("arrival_ms") <= F.col("query_id.elapsed_ms"))
+    rows, asked = in_time(serp), keyed(queries)
+    stats = engine_stats(in_time(settlement), rows, asked, enable_brave=enable_brave)
+    packed = stats.select("query_id", "partial", F.struct("attempted", "completed", "failed", "pending", "counts", "errors").alias("stats"))
+    out = merge.envelopes(merge.rank_results(rows, asked), asked, packed)
+    return out.select("query_id.query_id", "query_id.phase", "results", "total", "partial", "stats", "query_id.elapsed_ms", "query_id.intent")

@@ -30,7 +30,20 @@ def parsed(src: str) -> str:
         regexp_replace(url, '{HEAD}', '') AS rest FROM ({src}))))"""
 
 
-CLEAN_QUERY = f"array_to_string(list_filter(string_split(u_query, '&'), lambda p: p <> '' AND split_part(p, '=', 1) NOT IN {_in(rules.TRACKING)}), '&')"
+DECODED = lambda x: f"url_decode(replace({x}, '+', ' '))"
+FORM = lambda x: f"replace(replace(replace(url_encode({x}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+NAME, VALUE = DECODED("split_part(p, '=', 1)"), DECODED("CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END")
+CLEAN_QUERY = f"array_to_string(list_transform(list_filter(string_split(u_query, '&'), lambda p: p <> '' AND {NAME} NOT IN {_in(rules.TRACKING)}), lambda p: {FORM(NAME)} || '=' || {FORM(VALUE)}), '&')"
+
+
+def component(x: str) -> str:
+    """Percent-encoding that leaves ! ' ( ) * ~ as they are."""
+    out = f"url_encode({x})"
+    for code, plain in (("%21", "!"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2A", "*"), ("%7E", "~")):
+        out = f"replace({out}, '{code}', '{plain}')"
+    return out
+
+
 KEY = f"""lower(regexp_replace(CASE WHEN u_valid THEN u_scheme || '://' || u_host || u_path ||
     CASE WHEN {CLEAN_QUERY} <> '' THEN '?' || {CLEAN_QUERY} ELSE '' END ELSE url END, '/$', ''))"""
 
@@ -93,15 +106,14 @@ def _pick(values, index: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][{index} + 1]"
 
 
-def _ctes(n: int = 12) -> str:
-    """g, q (searches), hits (rows), s (settle times)."""
-    e = len(rules.ENGINES)
+def _ctes() -> str:
+    """dealt (pages of searches), q (searches), hits (rows), s (settle times)."""
+    e, n, span = len(rules.ENGINES), synthetic.GROUP, synthetic.SPAN
     return f"""
-    g AS (SELECT CAST(range AS BIGINT) AS query_id FROM range(1, {n + 1})),
-    q AS (SELECT query_id, {_pick(synthetic.QUERIES, f"((query_id - 1) % {len(synthetic.QUERIES)})")} AS query, 10 AS "limit" FROM g),
+    dealt AS (SELECT page_id // {n} + k + 1 AS query_id, page_id % {n} + {n} * k AS r, page_id FROM pages, (SELECT range AS k FROM range({span}))),
+    q AS (SELECT query_id, {_pick(synthetic.QUERIES, f"((query_id - 1) % {len(synthetic.QUERIES)})")} AS query, 10 AS "limit" FROM (SELECT DISTINCT query_id FROM dealt)),
     qi AS (SELECT *, {intent("query")} AS intent FROM q),
-    cells AS (SELECT query_id, r, e, (query_id * 17 + r * 31) % (SELECT max(page_id) + 1 FROM pages) AS page_id
-      FROM g, (SELECT range AS r FROM range({synthetic.POOL})), (SELECT range AS e FROM range({e})) WHERE (r + e * 3 + query_id) % 7 < 1 + r % 6 AND (query_id + e) % 7 <> 0),
+    cells AS (SELECT query_id, r, e, page_id FROM dealt, (SELECT range AS e FROM range({e})) WHERE (r + e * 3 + query_id) % 7 < 1 + r % 6 AND (query_id + e) % 7 <> 0),
     placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY (r * 11 + e * 5) % 29, r) - 1 AS pos FROM cells),
     hosted AS (SELECT p.*, html, {_pick(synthetic.HOSTS, f"(p.page_id % {len(synthetic.HOSTS)})")} AS host, {_pick(synthetic.PATHS, f"((p.page_id // 3) % {len(synthetic.PATHS)})")} AS path
       FROM placed p JOIN pages USING (page_id) WHERE pos < {synthetic.HARVEST}),
@@ -110,7 +122,7 @@ def _ctes(n: int = 12) -> str:
       'https://' || host || path || CASE WHEN path = '/' THEN '' ELSE '/p' || page_id END || CASE WHEN e % 3 = 1 THEN '/' ELSE '' END || CASE WHEN e % 2 = 1 THEN '?utm_medium=x' ELSE '' END AS url,
       left(regexp_extract(html, '<p>([^<]*)<', 1), 80 + 20 * e) AS snippet FROM hosted),
     s AS (SELECT query_id, {_pick(rules.ENGINES, "e")} AS engine, CAST((query_id * 389 + e * 613) % 5000 AS INT) AS arrival_ms, (query_id + e) % 7 <> 0 AS ok,
-      CASE WHEN (query_id + e) % 7 = 0 THEN 'HTTP 503' END AS error FROM g, (SELECT range AS e FROM range({e})))"""
+      CASE WHEN (query_id + e) % 7 = 0 THEN 'HTTP 503' END AS error FROM q, (SELECT range AS e FROM range({e})))"""
 
 
 RANK = "CASE intent" + "".join(f" WHEN '{i}' THEN CAST(coalesce(list_position({list(o)}, engine) - 1, 99) AS INT)" for i, o in rules.ENGINE_ORDER.items()) + " END"
@@ -122,7 +134,7 @@ SCORED = f"scored AS (SELECT *, {BASE} AS score FROM (SELECT *, {tokens('query')
 def _merged(src: str, name: str = "") -> str:
     """CTEs m (groups), capped and ranked of the rows of ``src``."""
     m, u, c, r = (f"{x}{name}" for x in ("m", "mu", "capped", "ranked"))
-    decoded = "{0}"
+    decoded = "regexp_replace({0}, '(?i)&#x200B;', '', 'g')"
     for entity, plain in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " ")):
         decoded = f"regexp_replace({decoded}, '(?i)&{entity};', '{plain}', 'g')"
     decoded = TRIM(f"regexp_replace({decoded}, '{BLANK}{{2,}}', ' ', 'g')")
@@ -170,9 +182,25 @@ BODY = "regexp_extract(html, '<article>(.*)</article>', 1, 's')"
 EVENTS = "e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
 DAY = 86_400_000
 
+REQUESTS = f"""l AS (SELECT event_id, user_id % 8 AS instance, CAST(user_id % 60 AS VARCHAR) AS key, epoch_us(ts) // 1000 AS at_ms, CAST({DAY // 24} AS BIGINT) AS duration,
+    row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS n FROM events)"""
+#: A step writes the oldest result that has arrived before the next request, or else takes that request.  Entries are in the
+#: order of their last use; results arrive in the order of their requests, as all take as long.
+CACHED = f"""c AS (
+    SELECT DISTINCT instance, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS kept, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS flying, CAST(NULL AS VARCHAR) AS outcome FROM l
+    UNION ALL SELECT instance, CASE WHEN lands THEN n ELSE n + 1 END,
+      CASE WHEN lands THEN list_slice(written, greatest(1, len(written) - 4), len(written)) WHEN fresh THEN list_append(others, list_filter(kept, lambda x: x.k = key)[1]) ELSE others END,
+      CASE WHEN lands THEN flying[2:] WHEN fresh OR waits THEN flying ELSE list_append(flying, {{'k': key, 't': at_ms + duration}}) END,
+      CASE WHEN lands THEN NULL WHEN fresh THEN 'hit' WHEN waits THEN 'inflight' ELSE 'miss' END
+    FROM (SELECT c.instance, c.n, kept, flying, key, at_ms, duration, len(flying) > 0 AND flying[1].t <= at_ms AS lands,
+      list_append(list_filter(kept, lambda x: x.k <> flying[1].k AND flying[1].t - x.t <= {2 * DAY}), flying[1]) AS written,
+      list_filter(kept, lambda x: x.k <> key) AS others, len(list_filter(kept, lambda x: x.k = key AND at_ms - x.t <= {2 * DAY})) > 0 AS fresh,
+      len(list_filter(flying, lambda x: x.k = key)) > 0 AS waits FROM c JOIN l ON l.instance = c.instance AND l.n = c.n + 1)),
+  cached AS (SELECT l.*, outcome, CAST(len(kept) AS BIGINT) AS entries FROM c JOIN l USING (instance, n) WHERE outcome IS NOT NULL)"""
+
 
 def _entities(x: str) -> str:
-    out = x
+    out = f"regexp_replace({x}, '(?i)&#x200B;', '', 'g')"
     for entity, plain in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " ")):
         out = f"regexp_replace({out}, '(?i)&{entity};', '{plain}', 'g')"
     return TRIM(f"regexp_replace({out}, '{BLANK}{{2,}}', ' ', 'g')")
@@ -189,7 +217,7 @@ def _source(inner: str, engine: str, limit: int, extra: str = "0") -> str:
       FROM (SELECT *, {tokens('query')} AS toks, lower(title || ' ' || snippet) AS hay FROM ({parsed(inner)})) QUALIFY pos < {limit}"""
 
 
-PAGES = f"(SELECT page_id, url, {TITLE} AS title, left({BODY}, 400) AS body, page_id // 8 AS query_id, 'example docs api' AS query FROM pages)"
+PAGES = f"(SELECT page_id, url, {TITLE} AS title, {BODY} AS body, page_id // 8 AS query_id, 'example docs api' AS query FROM pages)"
 
 ORACLE = {
     "url_parse": f"SELECT page_id, u_scheme AS scheme, u_host AS host, u_domain AS domain, u_path AS path, u_query AS query, u_valid AS valid FROM ({parsed('SELECT * FROM pages')})",
@@ -198,7 +226,7 @@ ORACLE = {
     "url_without_params": f"SELECT page_id, {CLEAN_QUERY} AS query FROM ({parsed('SELECT * FROM pages')})",
     "url_unwrap_ddg": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url ELSE '' END AS target FROM pages",
     "url_unwrap_bing": "SELECT page_id, url AS target FROM pages",
-    "url_search_request": f"WITH {_ctes()} SELECT query_id, 'https://search.example.com/?q=' || replace(query, ' ', '+') || '&source=web' AS request, url_encode(query) AS component FROM q",
+    "url_search_request": f"WITH {_ctes()} SELECT query_id, 'https://search.example.com/?q=' || replace(query, ' ', '+') || '&source=web' AS request, {component('query')} AS component FROM q",
     "text_decode_entities": f"SELECT page_id, {_entities(f'''{TITLE} || ' &amp;lt; &nbsp; &QUOT; ' || {BODY}''')} AS decoded FROM pages",
     "text_strip_html": f"SELECT page_id, {_strip(BODY)} AS stripped FROM pages",
     "text_keyword_tokens": f"SELECT conv_id, turn, array_to_string({tokens('text')}, '+') AS tokens FROM conversations",
@@ -259,6 +287,12 @@ ORACLE = {
       UNION ALL SELECT e.event_id, e.user_id, e.at_ms, e.n, e.at_ms >= until, CASE WHEN e.at_ms >= until THEN e.event_id ELSE leader_id END, CASE WHEN e.at_ms >= until THEN e.at_ms + {DAY} ELSE until END
       FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
       SELECT event_id, user_id, at_ms, {DAY} AS duration, leader, leader_id FROM r""",
+    "slot_queue": f"""WITH RECURSIVE {REQUESTS}, r AS (SELECT *, at_ms AS start, [at_ms + duration, 0] AS free FROM l WHERE n = 1
+      UNION ALL SELECT l.*, greatest(l.at_ms, list_min(free)), [list_max(free), greatest(l.at_ms, list_min(free)) + l.duration] FROM r JOIN l ON l.instance = r.instance AND l.n = r.n + 1)
+      SELECT event_id, instance, at_ms, duration, start, start - at_ms AS waited FROM r""",
+    "result_cache": f"WITH RECURSIVE {REQUESTS}, {CACHED} SELECT event_id, instance, key, at_ms, duration, outcome, entries FROM cached",
+    "result_cache_stats": f"""WITH RECURSIVE {REQUESTS}, {CACHED} SELECT instance, count(*) FILTER (outcome = 'hit') AS hits, count(*) FILTER (outcome <> 'hit') AS misses,
+      count(*) FILTER (outcome = 'inflight') AS inflight_hits, count(*) FILTER (outcome = 'miss') AS writes FROM cached GROUP BY ALL""",
     "source_reddit": _source(
         f"""SELECT query_id, query, page_id, title, CASE WHEN page_id % 2 = 1 THEN 'https://www.reddit.com/r/x/' || page_id ELSE link END AS url,
         left(CASE WHEN page_id % 5 <> 0 AND body <> '' THEN left(body, 200) ELSE 'r/x · ' || page_id || ' points' END, 300) AS snippet
@@ -269,18 +303,22 @@ ORACLE = {
     ),
     "source_github": _source(
         f"""SELECT query_id, query, page_id, CASE WHEN page_id % 2 = 0 AND title <> '' THEN title ELSE 'name' END AS title, url,
-        left(CASE WHEN page_id % 3 = 0 AND body <> '' THEN left(body, 60) || ' · ' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN 'Topics: search, api · ' ELSE '' END || '★ ' || page_id * 37, 300) AS snippet
+        left(CASE WHEN page_id % 3 = 0 AND body <> '' THEN body || ' · ' ELSE '' END || CASE WHEN page_id % 5 = 0 THEN 'Topics: search, api · ' ELSE '' END || '★ ' || page_id * 37, 300) AS snippet
         FROM {PAGES} WHERE page_id % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY page_id) = 1""",
         "github",
         6,
         "CASE WHEN page_id % 4 = 0 THEN -3 ELSE 0 END + CASE WHEN page_id > 0 THEN least(floor(log10(page_id * 37 + 1)), 5) ELSE 0 END",
     ),
     "source_wikipedia": _source(
-        f"""SELECT query_id, query, page_id, title, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://en.wikipedia.org/wiki/' || url_encode(title) END AS url, left({_strip('body')}, 300) AS snippet
-        FROM {PAGES} WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 6 <> 0 AND page_id % 9 <> 0""",
+        f"""SELECT query_id, query, page_id, title, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://en.wikipedia.org/wiki/' || {component('title')} END AS url, left({_strip('extract')}, 300) AS snippet
+        FROM (SELECT *, CASE WHEN page_id % 6 = 0 THEN title || ' may refer to: ' || CASE WHEN page_id % 4 = 0 THEN body ELSE '' END ELSE body END AS extract FROM {PAGES})
+        WHERE page_id % 7 <> 0 AND page_id % 5 <> 0 AND page_id % 9 <> 0 AND NOT (contains(lower(extract), 'may refer to:') AND length(extract) < 500)""",
         "wikipedia",
         5,
     ),
     "source_brave": _source(f"SELECT query_id, query, page_id, title, url, left(body, 300) AS snippet FROM {PAGES} WHERE page_id % 5 <> 0 AND title <> ''", "brave", 6),
-    "source_shape_errors": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'GitHub API: rate limited' WHEN page_id % 4 = 1 THEN 'GitHub API: HTTP 500' WHEN page_id % 3 <> 0 THEN 'GitHub API: unexpected response shape' END AS error FROM pages",
+    "source_shape_errors": """SELECT page_id, engine, CASE WHEN page_id % 5 = 0 AND engine = 'github' THEN 'GitHub API: rate limited (403)'
+      WHEN page_id % 5 IN (0, 2) AND engine = 'brave' THEN 'Brave API: authentication failed (' || [403, 500, 401][page_id % 5 + 1] || ')' WHEN page_id % 5 < 3 THEN name || ' API: HTTP ' || [403, 500, 401][page_id % 5 + 1]
+      WHEN page_id % 3 <> 0 AND engine <> 'wikipedia' THEN name || ' API: unexpected response shape' END AS error
+      FROM pages, (VALUES ('github', 'GitHub'), ('reddit', 'Reddit'), ('brave', 'Brave'), ('wikipedia', 'Wikipedia')) t(engine, name)""",
 }

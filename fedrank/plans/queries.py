@@ -15,7 +15,6 @@ from ..sources import html, payloads, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-N_QUERIES = 12
 #: The driver's events are sparse, so limits are tried with windows of days; fixed values.
 DAY_MS = 86_400_000
 
@@ -34,11 +33,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def serp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.hits(spark, pages(spark, sf_dir), N_QUERIES)
+    return synthetic.hits(pages(spark, sf_dir))
 
 
-def asked(spark: SparkSession) -> DataFrame:
-    return synthetic.queries(spark, N_QUERIES)
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.queries(pages(spark, sf_dir))
+
+
+def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.settlements(asked(spark, sf_dir))
 
 
 def joined(array) -> F.Column:
@@ -86,7 +89,7 @@ def url_unwrap_bing(spark, sf_dir):
 
 @query
 def url_search_request(spark, sf_dir):
-    q = asked(spark)
+    q = asked(spark, sf_dir)
     return q.select("query_id", urls.search_url("https://search.example.com/", F.col("query"), source="web").alias("request"), urls.encode_component(F.col("query")).alias("component"))
 
 
@@ -138,12 +141,12 @@ def text_normalise_content(spark, sf_dir):
 @query
 def cache_keys(spark, sf_dir):
     engines = F.when(F.col("query_id") % 2 == 0, F.array(F.lit("google"), F.lit("bing")))
-    return asked(spark).select("query_id", T.cache_key(F.concat(F.lit("  "), F.upper("query")), engines, F.col("limit")).alias("cache_key"))
+    return asked(spark, sf_dir).select("query_id", T.cache_key(F.concat(F.lit("  "), F.upper("query")), engines, F.col("limit")).alias("cache_key"))
 
 
 @query
 def intent(spark, sf_dir):
-    return asked(spark).select("query_id", S.detect_intent(F.col("query")).alias("intent"))
+    return asked(spark, sf_dir).select("query_id", S.detect_intent(F.col("query")).alias("intent"))
 
 
 @query
@@ -152,7 +155,7 @@ def intent_of_texts(spark, sf_dir):
 
 
 def scored_hits(spark, sf_dir) -> DataFrame:
-    rows = serp(spark, sf_dir).join(merge.with_intent(asked(spark)), "query_id").withColumn("u", urls.parse(F.col("url")))
+    rows = serp(spark, sf_dir).join(merge.with_intent(asked(spark, sf_dir)), "query_id").withColumn("u", urls.parse(F.col("url")))
     return rows.withColumn("score", S.base_score(T.keyword_tokens(F.col("query")), F.col("u"), F.col("title"), F.col("snippet")))
 
 
@@ -205,40 +208,40 @@ def serp_engine_limit(spark, sf_dir):
 
 @query
 def engine_ranks(spark, sf_dir):
-    rows = serp(spark, sf_dir).join(merge.with_intent(asked(spark)), "query_id")
+    rows = serp(spark, sf_dir).join(merge.with_intent(asked(spark, sf_dir)), "query_id")
     return rows.select("query_id", "engine", merge.engine_rank(F.col("intent"), F.col("engine")).alias("rank")).distinct()
 
 
 @query
 def engines_attempted(spark, sf_dir):
     wanted = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("github"), F.lit("brave"), F.lit("bing"), F.lit("nowhere")))
-    return merge.with_intent(asked(spark)).select("query_id", joined(merge.attempted(F.col("intent"), wanted)).alias("attempted"))
+    return merge.with_intent(asked(spark, sf_dir)).select("query_id", joined(merge.attempted(F.col("intent"), wanted)).alias("attempted"))
 
 
 @query
 def merged_groups(spark, sf_dir):
-    rows = merge.merged(serp(spark, sf_dir), asked(spark))
+    rows = merge.merged(serp(spark, sf_dir), asked(spark, sf_dir))
     return rows.select("query_id", "dedup_key", "title", "url", "snippet", joined("engines").alias("engines"), "base", "boost", "adjustment", "score", "domain", F.col("n").alias("n_rows"))
 
 
 @query
 def domain_cap(spark, sf_dir):
-    return merge.cap_domains(merge.merged(serp(spark, sf_dir), asked(spark))).select("query_id", "dedup_key", "score")
+    return merge.cap_domains(merge.merged(serp(spark, sf_dir), asked(spark, sf_dir))).select("query_id", "dedup_key", "score")
 
 
 @query
 def ranked_results(spark, sf_dir):
-    return merge.rank_results(serp(spark, sf_dir), asked(spark)).withColumn("engines", joined("engines"))
+    return merge.rank_results(serp(spark, sf_dir), asked(spark, sf_dir)).withColumn("engines", joined("engines"))
 
 
 @query
 def selected_fields(spark, sf_dir):
-    return merge.select_fields(merge.rank_results(serp(spark, sf_dir), asked(spark)), ["rank", "url", "query_id", "nothing"])
+    return merge.select_fields(merge.rank_results(serp(spark, sf_dir), asked(spark, sf_dir)), ["rank", "url", "query_id", "nothing"])
 
 
 @query
 def response_envelopes(spark, sf_dir):
-    rows = merge.envelopes(merge.rank_results(serp(spark, sf_dir), asked(spark)), asked(spark))
+    rows = merge.envelopes(merge.rank_results(serp(spark, sf_dir), asked(spark, sf_dir)), asked(spark, sf_dir))
     return rows.select("query_id", "query", "total", joined(F.transform("results", lambda r: r["url"])).alias("urls"))
 
 
@@ -257,7 +260,7 @@ def engine_counts(spark, sf_dir):
 
 @query
 def engine_statistics(spark, sf_dir):
-    rows = settlement.engine_stats(synthetic.settlements(spark, N_QUERIES), serp(spark, sf_dir), asked(spark))
+    rows = settlement.engine_stats(settlements(spark, sf_dir), serp(spark, sf_dir), asked(spark, sf_dir))
     names = [joined(c).alias(c) for c in ("attempted", "completed", "failed", "pending")]
     total = F.aggregate(F.map_values("counts"), F.lit(0), lambda a, b: a + b).alias("n_rows")
     return rows.select("query_id", "intent", *names, total, F.size("errors").alias("n_errors"), "partial")
@@ -265,24 +268,24 @@ def engine_statistics(spark, sf_dir):
 
 @query
 def settlement_timeouts(spark, sf_dir):
-    return settlement.apply_timeouts(synthetic.settlements(spark, N_QUERIES), 4000, 3000)
+    return settlement.apply_timeouts(settlements(spark, sf_dir), 4000, 3000)
 
 
 @query
 def fast_path(spark, sf_dir):
-    return settlement.fast_path(synthetic.settlements(spark, N_QUERIES), serp(spark, sf_dir), asked(spark))
+    return settlement.fast_path(settlements(spark, sf_dir), serp(spark, sf_dir), asked(spark, sf_dir))
 
 
 @query
 def search_answers(spark, sf_dir):
-    rows = settlement.answers(serp(spark, sf_dir), synthetic.settlements(spark, N_QUERIES), asked(spark))
+    rows = settlement.answers(serp(spark, sf_dir), settlements(spark, sf_dir), asked(spark, sf_dir))
     urls_ = joined(F.transform("results", lambda r: r["url"])).alias("urls")
     return rows.select("query_id", "phase", "total", "partial", "elapsed_ms", "intent", joined("stats.pending").alias("pending"), urls_)
 
 
 @query
 def search_answers_final(spark, sf_dir):
-    rows = settlement.answers(serp(spark, sf_dir), synthetic.settlements(spark, N_QUERIES), asked(spark), await_background=True)
+    rows = settlement.answers(serp(spark, sf_dir), settlements(spark, sf_dir), asked(spark, sf_dir), await_background=True)
     return rows.select("query_id", "phase", "total", "partial", "elapsed_ms", "intent", joined("stats.failed").alias("failed"))
 
 
@@ -298,7 +301,7 @@ def last_seen(spark, sf_dir):
 
 @query
 def last_failures(spark, sf_dir):
-    return metrics.last_failures(synthetic.settlements(spark, N_QUERIES).withColumn("error", F.concat("error", F.lit(" in "), F.col("query_id").cast("string"))), ["query_id", "arrival_ms"])
+    return metrics.last_failures(settlements(spark, sf_dir).withColumn("error", F.concat("error", F.lit(" in "), F.col("query_id").cast("string"))), ["query_id", "arrival_ms"])
 
 
 @query
@@ -344,7 +347,7 @@ def slot_queue(spark, sf_dir):
 
 
 def _page_rows(spark, sf_dir) -> DataFrame:
-    rows = pages(spark, sf_dir).select("page_id", "url", _raw_title().alias("title"), F.left(_raw_body(), F.lit(400)).alias("body"))
+    rows = pages(spark, sf_dir).select("page_id", "url", _raw_title().alias("title"), _raw_body().alias("body"))
     return rows.withColumn("query_id", F.floor(F.col("page_id") / 8).cast("long")).withColumn("query", F.lit("example docs api"))
 
 
@@ -377,7 +380,7 @@ def source_github(spark, sf_dir):
         F.when(p % 7 != 0, F.col("url")).alias("html_url"),
         F.when(p % 2 == 0, F.col("title")).alias("full_name"),
         F.lit("name").alias("name"),
-        F.when(p % 3 == 0, F.left("body", F.lit(60))).alias("description"),
+        F.when(p % 3 == 0, F.col("body")).alias("description"),
         F.when(p % 5 == 0, F.array(F.lit("search"), F.lit("api"))).alias("topics"),
         (p * 37).alias("stargazers_count"),
         (p % 4 == 0).alias("fork"),
@@ -390,7 +393,7 @@ def source_wikipedia(spark, sf_dir):
     rows, p = _page_rows(spark, sf_dir), F.col("page_id")
     hit = F.struct(p.alias("pageid"), F.col("title").alias("title"))
     found = _payload(rows, hit, lambda items: F.struct(F.struct(items.alias("search")).alias("query")))
-    extract = F.when(p % 6 == 0, F.concat("title", F.lit(" may refer to: "))).otherwise(F.col("body"))
+    extract = F.when(p % 6 == 0, F.concat("title", F.lit(" may refer to: "), F.when(p % 4 == 0, F.col("body")).otherwise(""))).otherwise(F.col("body"))
     page = F.struct(
         F.when(p % 9 == 0, F.concat("title", F.lit(" (disambiguation)"))).otherwise(F.col("title")).alias("title"),
         extract.alias("extract"),
@@ -412,9 +415,14 @@ def source_brave(spark, sf_dir):
 @query
 def source_shape_errors(spark, sf_dir):
     p = F.col("page_id")
-    status = F.when(p % 4 == 0, 403).when(p % 4 == 1, 500).otherwise(200)
-    body = F.when(p % 3 == 0, '{"items": []}').otherwise('{"other": 1}')
-    return pages(spark, sf_dir).select("page_id", payloads.shape_error("github", body, status).alias("error"))
+    engines = ("github", "reddit", "brave", "wikipedia")
+    status = F.when(p % 5 == 0, 403).when(p % 5 == 1, 500).when(p % 5 == 2, 401).otherwise(200)
+    body = F.when(p % 3 == 0, '{"items": [], "data": {"children": []}, "web": {"results": []}}').otherwise('{"other": 1}')
+    rows = pages(spark, sf_dir).select("page_id", F.explode(F.array(*map(F.lit, engines))).alias("engine"), body.alias("body"), status.alias("status"))
+    error = F.lit(None).cast("string")
+    for engine in engines:
+        error = F.when(F.col("engine") == engine, payloads.shape_error(engine, F.col("body"), F.col("status"))).otherwise(error)
+    return rows.select("page_id", "engine", error.alias("error"))
 
 
 @query
@@ -425,7 +433,7 @@ def extracted_pages(spark, sf_dir):
 @query
 def source_search_pages(spark, sf_dir):
     """Search pages of one engine, built from eight pages each, and read back."""
-    item = F.concat(F.lit('<li class="b_algo"><h2><a href="'), F.col("url"), F.lit('">'), F.col("title"), F.lit('</a></h2><div class="b_caption"><p>'), F.left("body", F.lit(0)), F.lit("text</p></div></li>"))
+    item = F.concat(F.lit('<li class="b_algo"><h2><a href="'), F.col("url"), F.lit('">'), F.col("title"), F.lit('</a></h2><div class="b_caption"><p>'), F.regexp_replace("body", "<[^>]*>", " "), F.lit("</p></div></li>"))
     rows = _page_rows(spark, sf_dir).groupBy("query_id", "query").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))).alias("x"))
     built = rows.select("query_id", "query", F.concat(F.lit("<html><body><ol>"), F.array_join(F.transform("x", lambda r: r["item"]), ""), F.lit("</ol></body></html>")).alias("html"))
     return html.from_search_pages(built, "bing", 6)

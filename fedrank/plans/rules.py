@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-ENGINES = ("ddg", "bing", "brave", "google", "reddit", "github", "wikipedia")
+#: All engines, in the order in which they are listed; fixed values.
+ENGINES = ("ddg", "brave", "bing", "reddit", "wikipedia", "github", "google")
 API_ENGINES = ("reddit", "github", "wikipedia")
 INTENTS = ("docs", "code", "discussion", "factual", "general")
 
@@ -58,9 +59,9 @@ TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content ref".split()
 
 #: Patterns of each intent over the lower-cased query, tried in this order; fixed values.
 INTENT_WORDS = {
-    "discussion": r"reddit|discussion|forum|threads?|opinions?|community|communities|compare|vs\.?|versus",
-    "code": r"github|gitlab|repo|repository|repositories|source code|implementations?|example code|examples",
-    "docs": r"docs?|documentations?|api|sdk|references?|guides?|handbook|manual|tutorials?|library|libraries|integrations?",
+    "discussion": r"reddit|discussion|forum|thread|threads|opinion|opinions|community|communities|compare|vs\.?|versus",
+    "code": r"github|gitlab|repo|repository|repositories|source code|implementation|implementations|example code|examples",
+    "docs": r"docs?|documentation|documentations|api|sdk|reference|references|guide|guides|handbook|manual|tutorial|tutorials|library|libraries|integration|integrations",
 }
 FACTUAL_START = r"what is|who is|define|definition of|history of|list of"
 FACTUAL_WORDS = r"wikipedia|meaning|definition|history"

@@ -128,9 +128,9 @@ def shape_error(engine: str, payload: Column, status: Column) -> Column:
     name = {"reddit": "Reddit", "github": "GitHub", "brave": "Brave", "wikipedia": "Wikipedia"}[engine]
     out = F.lit(None).cast("string")
     if engine == "github":
-        out = F.when(status == 403, "GitHub API: rate limited").when(status == 422, "GitHub API: invalid query")
+        out = F.when(status == 403, "GitHub API: rate limited (403)")
     elif engine == "brave":
-        out = F.when(status == 401, "Brave API: invalid key").when(status == 403, "Brave API: forbidden")
+        out = F.when(status.isin(401, 403), F.concat(F.lit("Brave API: authentication failed ("), status.cast("string"), F.lit(")")))
     bad = (status < 200) | (status > 299)
     out = F.coalesce(out, F.when(bad, F.concat(F.lit(f"{name} API: HTTP "), status.cast("string"))))
     return F.coalesce(out, F.when(part(F.from_json(payload, schema)).isNull(), f"{name} API: unexpected response shape"))

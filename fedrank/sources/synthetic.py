@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import rules
@@ -14,27 +14,28 @@ QUERIES = (
 #: Hosts that pages get by their number, so that each rule about hosts applies to some.
 HOSTS = ("docs.rs", "github.com", "www.reddit.com", "en.wikipedia.org", "medium.com", "docs.python.org", "nodejs.org", "pkg.go.dev", "blog.example.org", "api.ollama.com", "shop.example.com", "dev.to")
 PATHS = ("/docs/start", "/issues/7", "/r/search", "/wiki/page", "/", "/reference", "/api/v1", "/blog/post", "/guide", "/releases", "/pull/3", "/tutorials/one")
-POOL, HARVEST = 24, rules.HARVEST
+#: A search has the pages of three neighbouring groups of eight, and a page is in three searches: all pages are dealt, and the
+#: number of searches grows with the table.
+GROUP, SPAN, HARVEST = 8, 3, rules.HARVEST
 
 
-def queries_sql(n: int) -> str:
-    """``query_id, query, limit`` of ``n`` searches, as SQL that Spark and DuckDB read alike; texts repeat if n is larger than their number."""
-    texts = ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUERIES))
-    return f"SELECT g.query_id, t.query, CAST(10 AS INT) AS \"limit\" FROM g JOIN (VALUES {texts}) AS t(i, query) ON (g.query_id - 1) % {len(QUERIES)} = t.i"
+def dealt(pages: DataFrame) -> DataFrame:
+    """``query_id, r, page_id``: the searches of each page and its place in them."""
+    cells = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(SPAN - 1))).alias("k"))
+    return cells.select((F.floor(F.col("page_id") / GROUP) + F.col("k") + 1).cast("bigint").alias("query_id"), (F.pmod("page_id", F.lit(GROUP)) + GROUP * F.col("k")).alias("r"), "page_id")
 
 
-def queries(spark: SparkSession, n: int = 12) -> DataFrame:
+def queries(pages: DataFrame) -> DataFrame:
+    """``query_id, query, limit`` of the searches; texts repeat."""
     texts = F.array(*map(F.lit, QUERIES))
-    ids = spark.range(1, n + 1).withColumnRenamed("id", "query_id")
+    ids = dealt(pages).select("query_id").distinct()
     return ids.select("query_id", F.get(texts, ((F.col("query_id") - 1) % len(QUERIES)).cast("int")).alias("query"), F.lit(10).alias("limit"))
 
 
-def hits(spark: SparkSession, pages: DataFrame, n: int = 12) -> DataFrame:
+def hits(pages: DataFrame) -> DataFrame:
     """``query_id, engine, arrival_ms, pos, title, url, snippet``."""
-    n_pages = pages.agg(F.max("page_id") + 1).collect()[0][0] or 1
     q, r, e = F.col("query_id"), F.col("r"), F.col("e")
-    cells = spark.range(1, n + 1).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(POOL - 1))).alias("r"))
-    cells = cells.withColumn("page_id", (q * 17 + r * 31) % n_pages).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(len(rules.ENGINES) - 1))))
+    cells = dealt(pages).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(len(rules.ENGINES) - 1))))
     cells = cells.where(((r + e * 3 + q) % 7 < 1 + r % 6) & ((q + e) % 7 != 0))
     w = payload_window()
     cells = cells.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < HARVEST)
@@ -55,9 +56,9 @@ def payload_window():
     return W.partitionBy("query_id", "e").orderBy((F.col("r") * 11 + F.col("e") * 5) % 29, "r")
 
 
-def settlements(spark: SparkSession, n: int = 12) -> DataFrame:
+def settlements(queries: DataFrame) -> DataFrame:
     """``query_id, engine, arrival_ms, ok, error``: one engine of each search fails."""
     q, e = F.col("query_id"), F.col("e")
-    cells = spark.range(1, n + 1).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(len(rules.ENGINES) - 1))).alias("e"))
+    cells = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(len(rules.ENGINES) - 1))).alias("e"))
     ok = (q + e) % 7 != 0
     return cells.select("query_id", F.get(F.array(*map(F.lit, rules.ENGINES)), e).alias("engine"), ((q * 389 + e * 613) % 5000).cast("int").alias("arrival_ms"), ok.alias("ok"), F.when(~ok, "HTTP 503").alias("error"))

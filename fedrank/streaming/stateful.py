@@ -56,6 +56,38 @@ def single_flight(log: DataFrame, key: str, request: str, at: str, duration: str
     return _stream(log, key, [at, request], "leader bigint, end bigint", load, save, [request, at, duration], "leader boolean, leader_id bigint")
 
 
+def cache(log: DataFrame, instance: str, key: str, request: str, at: str, duration: str, ttl: int = rules.CACHE_TTL_MS, most: int = rules.CACHE_ENTRIES) -> DataFrame:
+    """Adds ``outcome, entries``.  State: at most ``most`` entries in the order of their use, and the requests in flight."""
+
+    def load(s):
+        m = stateful.Cache(ttl, most)
+        if s:
+            names, written, ends, numbers, flying, good, m.n = s
+            m.entries.update(zip(names, written, strict=True))
+            m.landing = list(zip(ends, numbers, flying, good, strict=True))  # a heap as it was
+            m.flying = {k: end for end, _, k, _ in m.landing}
+        return m
+
+    def save(m):
+        ends, numbers, flying, good = ([x[i] for x in m.landing] for i in range(4))
+        return list(m.entries), [int(t) for t in m.entries.values()], list(map(int, ends)), list(map(int, numbers)), flying, list(map(bool, good)), m.n
+
+    schema = "names array<string>, written array<bigint>, ends array<bigint>, numbers array<bigint>, flying array<string>, good array<boolean>, n bigint"
+    return _stream(log, instance, [at, request], schema, load, save, [at, key, duration], "outcome string, entries bigint")
+
+
+def queue(log: DataFrame, pool: str, request: str, at: str, duration: str, slots: int = rules.SLOTS) -> DataFrame:
+    """Adds ``start, waited``.  State: when each slot is free."""
+
+    def load(s):
+        m = stateful.Slots(slots)
+        if s:
+            m.free = list(s[0])
+        return m
+
+    return _stream(log, pool, [at, request], "free array<bigint>", load, lambda m: ([int(x) for x in m.free],), [at, duration], "start bigint, waited bigint")
+
+
 def request_counts(log: DataFrame, kind: str) -> DataFrame:
     """Running counts for each kind; for output mode ``complete`` or ``update``."""
     return log.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))

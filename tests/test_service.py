@@ -82,4 +82,8 @@ def test_settings():
 
 def test_synthetic_shapes(spark):
     pages = spark.createDataFrame([(i, f"https://a{i}.example.com/", "<title>t</title><p>p</p>") for i in range(20)], "page_id long, url string, html string")
-    assert synthetic.hits(spark, pages).count() > 100 and synthetic.settlements(spark).count() == 84
+    asked = synthetic.queries(pages)
+    assert sorted(r.query_id for r in asked.collect()) == [1, 2, 3, 4, 5]
+    dealt = synthetic.dealt(pages)
+    assert dealt.count() == dealt.select("query_id", "r").distinct().count() == 60
+    assert synthetic.hits(pages).count() > 100 and synthetic.settlements(asked).count() == 35

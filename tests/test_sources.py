@@ -1,3 +1,4 @@
+import base64
 import json
 
 from fedrank.sources import html, payloads
@@ -46,7 +47,7 @@ def test_brave_and_errors(spark):
 
     check = lambda e, d: d.select(payloads.shape_error(e, F.col("payload"), F.col("status"))).collect()[0][0]
     assert check("brave", df) is None and check("github", df) == "GitHub API: unexpected response shape"
-    assert check("reddit", frame(spark, {}, 429)) == "Reddit API: HTTP 429" and check("brave", frame(spark, {}, 401)) == "Brave API: invalid key"
+    assert check("reddit", frame(spark, {}, 429)) == "Reddit API: HTTP 429" and check("brave", frame(spark, {}, 401)) == "Brave API: authentication failed (401)"
     assert payloads.request_size("reddit", 30) == 25 and payloads.request_size("ddg", 10) == 15
     assert payloads.uses_brave_api("auto", "k") and not payloads.uses_brave_api("scrape", "k")
 
@@ -75,3 +76,18 @@ def test_extract():
     title, text, words = html.extract(page)
     assert (title, words) == ("A title", 4) and text.split() == ["Big", "one", "two", "three"] and "menu" not in text
     assert html.extract("<p>a<p>b") == ("", "a\n\nb", 2) and html.extract("") == ("", "", 0) and html.extract("<body>" + "x" * 99, 5)[1] == "xxxxx"
+
+
+def test_urls(spark):
+    from pyspark.sql import functions as F
+
+    from fedrank.functions import text, urls
+
+    read = lambda c: spark.range(1).select(c).collect()[0][0]
+    key = lambda u: read(urls.dedup_key(F.lit(u)))
+    assert key("https://ex.com/a?q=a%20b") == key("https://ex.com/a?q=a+b&utm_source=x") == "https://ex.com/a?q=a+b"
+    assert key("https://ex.com/?x&ref=1&y=é*") == "https://ex.com/?x=&y=%c3%a9*" and key("https://ex.com/?%72ef=1") == "https://ex.com"
+    assert key("https://ex.com/?a=%zz") == "https://ex.com/?a=%25zz"
+    link = "https://www.bing.com/ck/a?u=a1" + base64.urlsafe_b64encode("https://example.com/café".encode()).decode().rstrip("=")
+    assert read(urls.unwrap_bing(F.lit(link))) == html.unwrap_bing(link) == "https://example.com/cafÃ©"
+    assert read(text.decode_entities(F.lit("a&#x200b;b &AMP;lt;"))) == "ab <"

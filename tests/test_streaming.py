@@ -28,6 +28,22 @@ def test_cool_down(spark, tmp_path):
     assert {r.outcome for r in got.collect()} == {"ok", "challenged", "blocked"}
 
 
+def test_cache_and_queue(spark, tmp_path):
+    for name, make in (
+        ("cache", lambda m, s: m.cache(s.withColumn("key", (F.col("id") % 4).cast("string")).withColumn("d", F.lit(9)), "k", "key", "id", "at_ms", "d", 40, 2)),
+        ("queue", lambda m, s: m.queue(s.withColumn("d", F.lit(9)), "k", "id", "at_ms", "d", 2)),
+    ):
+        log = spark.createDataFrame([(i, i % 3, 7 * i) for i in range(60)], "id long, k long, at_ms long")
+        folder = tmp_path / name
+        for part in range(3):  # files in the order of time
+            log.where(F.floor(F.col("id") / 20) == part).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        q = make(stateful, source).writeStream.format("memory").queryName("s_" + name).outputMode("append").option("checkpointLocation", str(folder / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+        assert sorted(map(tuple, spark.table("s_" + name).collect())) == sorted(map(tuple, make(batch, log).collect()))
+
+
 def test_counts(spark, tmp_path):
     rows, got = run(spark, tmp_path, lambda s: stateful.request_counts(s, "k"), "counted", "complete")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.groupBy("k").count().collect()))
