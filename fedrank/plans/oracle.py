@@ -217,6 +217,19 @@ def _source(inner: str, engine: str, limit: int, extra: str = "0") -> str:
       FROM (SELECT *, {tokens('query')} AS toks, lower(title || ' ' || snippet) AS hay FROM ({parsed(inner)})) QUALIFY pos < {limit}"""
 
 
+#: The page's entities, and its text: blocks on lines of their own, paragraphs apart.
+PLAIN = lambda x: f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+FLAT = lambda x: f"trim(regexp_replace({PLAIN(x)}, '\\s+', ' ', 'g'))"
+
+
+def _page_text(x: str) -> str:
+    out = f"regexp_replace({x}, '\\s+', ' ', 'g')"
+    for tags, plain in (("<br>", "chr(10)"), ("</?p>", "chr(10) || chr(10)"), ("</?h1>", "chr(10)"), ("</?b>", "''")):
+        out = f"regexp_replace({out}, '{tags}', {plain}, 'g')"
+    out = f"regexp_replace(regexp_replace({PLAIN(out)}, ' *\\n *', chr(10), 'g'), ' +', ' ', 'g')"
+    return f"trim(regexp_replace({out}, '\\n{{2,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
 PAGES = f"(SELECT page_id, url, {TITLE} AS title, {BODY} AS body, page_id // 8 AS query_id, 'example docs api' AS query FROM pages)"
 
 ORACLE = {
@@ -317,6 +330,14 @@ ORACLE = {
         5,
     ),
     "source_brave": _source(f"SELECT query_id, query, page_id, title, url, left(body, 300) AS snippet FROM {PAGES} WHERE page_id % 5 <> 0 AND title <> ''", "brave", 6),
+    "extracted_pages": f"""SELECT page_id, url, title, content, CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) AS INT) AS word_count
+      FROM (SELECT page_id, url, {FLAT(TITLE)} AS title, left({_page_text(BODY)}, 50000) AS content FROM pages)""",
+    "source_search_pages": _source(
+        f"""SELECT query_id, query, page_id, {FLAT('title')} AS title, url, left({FLAT("regexp_replace(body, '<[^>]*>', ' ', 'g')")}, 300) AS snippet
+        FROM (SELECT * FROM {PAGES} WHERE starts_with(url, 'http') QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY page_id) = 1) WHERE {FLAT('title')} <> ''""",
+        "bing",
+        6,
+    ),
     "source_shape_errors": """SELECT page_id, engine, CASE WHEN page_id % 5 = 0 AND engine = 'github' THEN 'GitHub API: rate limited (403)'
       WHEN page_id % 5 IN (0, 2) AND engine = 'brave' THEN 'Brave API: authentication failed (' || [403, 500, 401][page_id % 5 + 1] || ')' WHEN page_id % 5 < 3 THEN name || ' API: HTTP ' || [403, 500, 401][page_id % 5 + 1]
       WHEN page_id % 3 <> 0 AND engine <> 'wikipedia' THEN name || ' API: unexpected response shape' END AS error

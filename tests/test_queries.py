@@ -31,7 +31,7 @@ def duck():
 
 
 #: Those over pages again on a larger table, which has characters that the smaller lacks.
-CASES = [(name, DATA) for name in QUERIES] + [(name, LARGER) for name in QUERIES if name.startswith(("url", "source", "text"))]
+CASES = [(name, DATA) for name in QUERIES] + [(name, LARGER) for name in QUERIES if name.startswith(("url", "source", "text", "extracted"))]
 
 
 @pytest.mark.parametrize("name, folder", CASES)
