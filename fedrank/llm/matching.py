@@ -34,6 +34,7 @@ PACKED = "bucket long, payload binary"
 FLUSH_ROWS = 1_000_000
 #: Documents to a bucket in the steps that bring texts and spans together.
 BUCKET_DOCS = 500
+BUCKET_BYTES = 2 << 20
 SIEVE_BITS = 1 << 26
 Columns = list[np.ndarray]
 
@@ -179,6 +180,13 @@ def screen(docs: DataFrame, anchors: Callable[[ragged.Block], tuple[np.ndarray,
     return shared.stored(grouped(found, meet), "candidates")
 
 
+def extent(docs: DataFrame) -> tuple[int, int]:
+    """How many documents there are, and how many buckets for anchors: one for each BUCKET_BYTES of text, or more where the
+    session has more partitions."""
+    size = ragged.documents(docs).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return size.n, max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size.bytes // BUCKET_BYTES)
+
+
 def doc_buckets(n_docs: int) -> int:
     return max(64, -(-n_docs // BUCKET_DOCS))
 

@@ -183,7 +183,7 @@ def brought(docs: DataFrame, edges: DataFrame, width: int, n_docs: int, compare,
     keyed = shared.stored(edges.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "edges", {})
     asked = keyed.select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), "part").union(keyed.select("a", "a", "part").distinct())
     n_doc_buckets = matching.doc_buckets(n_docs)
-    n_buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_docs >> 9)
 
     def by_doc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -466,13 +466,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    n_buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sig = signatures(docs, width)
     n_docs = sig.count()
     sets = shared.stored(sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes", {})
     classes = sig.where("n > 0").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "registers").dropDuplicates(["doc_id"])
     classes = shared.stored(classes, "class-registers", {})
     n_classes = classes.count()
+    n_buckets = max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_classes >> 11)
     links = confirm(docs, first_stars(classes, n_buckets), width, percent, n_docs)
     labels = components.components(links)
     for mode in ("tries", "hubs"):

@@ -169,10 +169,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, carry: list[str] | None =
     """
     carry = carry or []
     gram = width // 2 + 1
-    n_docs = docs.count()
+    n_docs, n_buckets = matching.extent(docs)
     n_doc_buckets = matching.doc_buckets(n_docs)
     shared.small_batches(docs.sparkSession)
-    n_buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def anchors(block: ragged.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         runs = Runs(block, width, gram)

@@ -57,10 +57,9 @@ def remove_shared_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     nothing.  Rows with equal doc_id count as one document: they lose what smaller doc_ids hold.
     """
     length = width - PERIOD + 1
-    n_docs = docs.count()
+    n_docs, n_buckets = matching.extent(docs)
     n_doc_buckets = matching.doc_buckets(n_docs)
     shared.small_batches(docs.sparkSession)
-    n_buckets = max(256, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     candidates = matching.screen(docs, cover_anchors(width, length), True, n_buckets, n_doc_buckets)
     sieve = matching.Sieve(candidates, "<i8 <u4", n_docs)
 

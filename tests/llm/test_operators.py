@@ -76,9 +76,36 @@ def test_packing(table, encoded, vocabulary):
 
 
 def test_cost_balance():
-    pieces = packing.assign(np.array([5, 9, 3, 7]), 10, 1.0, 0.1)
-    assert sorted((k, s, n) for k, s, n, _, _ in pieces)[0][0] == 0
-    assert sum(n for _, _, n, _, _ in pieces) == 24 and len({q for *_, q, _ in pieces}) == 3
+    """Against a plain version on rests below the limit; and the costliest sequence is near the mean, nearer than in order."""
+    r = np.random.default_rng(4)
+    cost = lambda n: n + n * n / 100
+    for _ in range(40):
+        lengths = r.integers(1, 100, int(r.integers(1, 60)))
+        sequences = [[] for _ in range(-(-int(lengths.sum()) // 100))]
+        for n in sorted(lengths.tolist(), reverse=True):
+            while n:
+                fits = [s for s in sequences if 100 - sum(s) >= n]
+                part = n if fits else 100 - min(map(sum, sequences))
+                (min(fits, key=lambda s: sum(map(cost, s))) if fits else min(sequences, key=sum)).append(part)
+                n -= part
+        got = defaultdict(list)
+        for _, _, n, q, _ in packing.assign(lengths, 100, 1.0, 0.01):
+            got[q].append(n)
+        total = lambda s: sum(map(cost, s))
+        assert sorted(map(total, got.values())) == pytest.approx(sorted(map(total, sequences)))
+    lengths = r.integers(1, 40, 400)
+    balanced, plain, room = defaultdict(float), [0.0], 100
+    for _, _, n, q, _ in packing.assign(lengths, 100, 1.0, 0.01):
+        balanced[q] += cost(n)
+    for n in lengths.tolist():
+        while n:
+            part = min(n, room)
+            plain[-1] += cost(part)
+            n, room = n - part, room - part
+            if not room:
+                plain, room = [*plain, 0.0], 100
+    spread = lambda x: np.std(list(x)[:-1]) / np.mean(list(x)[:-1])
+    assert spread(balanced.values()) < spread(plain)
 
 
 def test_line_dedup(table, plain):
