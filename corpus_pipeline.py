@@ -3,6 +3,10 @@
 A stage is a function (spark, docs, sf_dir) -> DataFrame.  All but the last return the columns of ``documents``; the last
 returns the pieces of the packed sequences, as op1's query does.  Between stages rows are written as Parquet to the folder
 that the cluster shares, so a lost executor never costs more than the stage it was in.
+
+Null texts count as empty.  Rows without doc_id go in the first stage.  A row that is there twice is judged twice by the
+quality rules, and the second stage keeps one of it; of equal or near-equal texts the smallest doc_id stays.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
