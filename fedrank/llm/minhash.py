@@ -19,7 +19,7 @@ are the same without them.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -277,16 +277,26 @@ def difference_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, width
     schema = "hub long, doc_id long, n long, prefix long, delta binary"
     rows = shared.stored(brought(docs, stars, width, n_docs, differ, schema), "differences", {})
     rows = rows.join(labels, rows.doc_id == labels.node, "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "prefix", "delta")
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hub, prefix = batch.column("hub").to_numpy(), batch.column("prefix").to_numpy()
-            row = np.repeat(np.arange(len(hub)), prefix)
-            parts = [np.frombuffer(d, U64)[:n] for d, n in zip(batch.column("delta").to_pylist(), prefix.tolist(), strict=True)]
-            element = np.concatenate([np.zeros(0, U64), *parts])
-            key = ragged.mix(element + ragged.mix(hub[row].view(U64))).view(np.int64)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(take) for c in ("doc_id", "label", "n", "delta"))], ["key", "doc_id", "label", "n", "delta"])
+    rows = rows.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("home")), "hub", "left").withColumn("home", F.coalesce("home", "hub"))
+    schema = "key long, doc_id long, label long, n long, delta binary"
+
+    def spread(rows: DataFrame, test: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+        """A row for each element of the members' prefixes, or those whose key passes ``test``."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hub, prefix = batch.column("hub").to_numpy(), batch.column("prefix").to_numpy()
+                row = np.repeat(np.arange(len(hub)), prefix)
+                parts = [np.frombuffer(d, U64)[:n] for d, n in zip(batch.column("delta").to_pylist(), prefix.tolist(), strict=True)]
+                element = np.concatenate([np.zeros(0, U64), *parts])
+                key = ragged.mix(element + ragged.mix(hub[row].view(U64))).view(np.int64)
+                if test:
+                    some = test(key)
+                    key, row = key[some], row[some]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(take) for c in ("doc_id", "label", "n", "delta"))], ["key", "doc_id", "label", "n", "delta"])
+
+        return rows.mapInArrow(run, schema)
 
     def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, label, n = (table[c].to_numpy() for c in ("doc_id", "label", "n"))
@@ -314,7 +324,14 @@ def difference_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, width
                     todo += new.tolist()
                     yield edge_batch(np.full(len(new), doc[i]), doc[new])
 
-    keyed = rows.mapInArrow(spread, "key long, doc_id long, label long, n long, delta binary")
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield matching.packed_batch([(0, matching.pack([batch.column("key").to_numpy()]))])
+
+    # one end of a link between components is outside the hub's: members at home meet it under its elements only
+    outside = shared.stored(spread(rows.where("label <> home")), "outside")
+    sieve = matching.Sieve(outside.select("key").mapInArrow(packed, matching.PACKED), "<i8", outside.count())
+    keyed = outside.union(spread(rows.where("label = home"), sieve.tester()))
     return shared.stored(by_group(keyed.repartition("key").sortWithinPartitions("key"), ["key"], each).distinct(), "difference-links", {})
 
 
