@@ -7,7 +7,8 @@ cost is per block and not per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,23 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def _libc_trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        return None
+
+
+_TRIM = _libc_trim()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system, as idle workers would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of about ``size`` bytes; one document is never split, so a longer one makes a block alone."""
     for batch in batches:
@@ -69,7 +87,7 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterat
             yield Block(ids[a:b], data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             a = b
         del ids, data, offs, batch
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 class Powers:
