@@ -78,6 +78,12 @@ def test_extract():
     assert html.extract("<p>a<p>b") == ("", "a\n\nb", 2) and html.extract("") == ("", "", 0) and html.extract("<body>" + "x" * 99, 5)[1] == "xxxxx"
 
 
+def test_references_without_semicolon():
+    """A title that was cut within a reference stays as it is, as in SQL."""
+    page = "<title>R&amp;D &copy &am</title><article><h1>R&amp;D &amp</h1><p>&amp;amp; &notit; &#65; &#66 a&b</p></article>"
+    assert html.extract(page) == ("R&D &copy &am", "R&D &amp\n\n&amp; &notit; A &#66 a&b", 7)
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
