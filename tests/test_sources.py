@@ -84,6 +84,11 @@ def test_references_without_semicolon():
     assert html.extract(page) == ("R&D &copy &am", "R&D &amp\n\n&amp; &notit; A &#66 a&b", 7)
 
 
+def test_search_page_references_without_semicolon():
+    box = "<li class='b_algo'><h2><a href='https://ex.com/?a=1&copy=2&amp;b=3'>x &amp</a></h2><div class='b_caption'><p>y &quot</p></div></li>"
+    assert html.bing(html.parse(box)).rows == [("x &amp", "https://ex.com/?a=1&copy=2&b=3", "y &quot")]
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
