@@ -10,7 +10,7 @@
    pairs across components whose estimated similarity, corrected for chance
    agreement of registers, leaves a link possible.  Large ones try a second star,
    around the member nearest to the group's most common registers, and then
-   members that share a difference from that hub.
+   all members across components by their differences from that hub.
 4. Links are confirmed on whole sets, or by whole differences from one set.
 
 Links between classes that are already connected need not be tried: components
@@ -19,7 +19,7 @@ are the same without them.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ BAND = 4
 CHANCE = 1 / 3 / (1 << MANTISSA)
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 4.5
-#: Members of a group that one task compares.
+#: Members of a group that one task compares, and bytes of differences from a hub.
 PART = 4096
+PART_BYTES = 16 << 20
 #: Groups of at most so many members try pairs, larger ones differences from a hub.
 FEW = 32
 
@@ -250,93 +251,67 @@ def confirm(docs: DataFrame, edges: DataFrame, width: int, percent: int, n_docs:
 
 
 def difference_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, width: int, percent: int, n_docs: int) -> DataFrame:
-    """Links among the members of large groups, without trying all their pairs.
+    """Links among the members of large groups, by their differences from the group's hub instead of their whole sets.
 
-    With a hub's set H, the sets A and B differ by |A - H| + |B - H| less twice what these two differences share.  If they
-    share nothing and A and B are linked, then both are linked to H (their differences are small), so they are connected
-    already.  All other links therefore share an element of their differences, and members meet under such elements only.
-    An element that the hub lacks comes before those that it has, so that by prefix filtering a member goes under few of the
-    common ones.  Differences are short, and decide a link exactly.
+    With a hub's set H, the sets A and B differ by |A - H| + |B - H| less twice what these two differences share, so differences
+    decide every link exactly.  Members whose component is not the hub's are compared with all members, and of the links to one
+    component the first is enough; those within the hub's component are connected already.  What differences share is counted
+    from the members under each element, so a pair costs as many steps as it has elements in common.  A member is sent once
+    to each task of its hub: one up to PART_BYTES of differences, beyond that one for each two parts.
     """
     p = percent
 
     def differ(hub: int, hub_set: np.ndarray, doc: np.ndarray, size: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.cumsum(size) - size
-        deltas, first = [], []
+        deltas = [b""]  # the hub's own
         for a, n in zip(at.tolist(), size.tolist(), strict=True):
             own = sets[a : a + n]
-            more, less = own[~is_member(own, hub_set)], hub_set[~is_member(hub_set, own)]
-            delta = np.concatenate([more, less])
-            # a partner B has |B| <= |A| * 100 / p, so a difference from A of at most ``most``; it shares all but that of A's
-            most = int((100 - p) * (n + n * 100 / p) // (100 + p))
-            deltas.append(delta.tobytes())
-            first.append(len(delta) - max(1, len(delta) - most) + 1 if len(delta) else 0)
-        cols = [pa.array(np.full(len(doc), hub)), pa.array(doc), pa.array(size), pa.array(np.array(first, np.int64)), pa.array(deltas, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["hub", "doc_id", "n", "prefix", "delta"])
-
-    schema = "hub long, doc_id long, n long, prefix long, delta binary"
-    rows = shared.stored(brought(docs, stars, width, n_docs, differ, schema), "differences", {})
-    rows = rows.join(labels, rows.doc_id == labels.node, "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "prefix", "delta")
-    rows = rows.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("home")), "hub", "left").withColumn("home", F.coalesce("home", "hub"))
-    schema = "key long, doc_id long, label long, n long, delta binary"
-
-    def spread(rows: DataFrame, test: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-        """A row for each element of the members' prefixes, or those whose key passes ``test``."""
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hub, prefix = batch.column("hub").to_numpy(), batch.column("prefix").to_numpy()
-                row = np.repeat(np.arange(len(hub)), prefix)
-                parts = [np.frombuffer(d, U64)[:n] for d, n in zip(batch.column("delta").to_pylist(), prefix.tolist(), strict=True)]
-                element = np.concatenate([np.zeros(0, U64), *parts])
-                key = ragged.mix(element + ragged.mix(hub[row].view(U64))).view(np.int64)
-                if test:
-                    some = test(key)
-                    key, row = key[some], row[some]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(take) for c in ("doc_id", "label", "n", "delta"))], ["key", "doc_id", "label", "n", "delta"])
-
-        return rows.mapInArrow(run, schema)
+            deltas.append(own[~is_member(own, hub_set)].tobytes() + hub_set[~is_member(hub_set, own)].tobytes())
+        cols = [pa.array(np.full(len(deltas), hub)), pa.array(np.append(hub, doc)), pa.array(np.append(len(hub_set), size)), pa.array(deltas, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["hub", "doc_id", "n", "delta"])
+
+    rows = shared.stored(brought(docs, stars, width, n_docs, differ, "hub long, doc_id long, n long, delta binary"), "differences", {})
+    rows = rows.join(labels, rows.doc_id == labels.node, "left").select("hub", "doc_id", F.coalesce("label", "doc_id").alias("label"), "n", "delta")
+    rows = rows.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("home")), "hub", "left").withColumn("outside", F.col("label") != F.coalesce("home", "hub"))
+    rows = shared.stored(rows.drop("home"), "differences", {})
+    parts = lambda some: F.ceil(F.sum(F.when(some, F.octet_length("delta") + 64)) / PART_BYTES).cast("long")
+    sizes = rows.groupBy("hub").agg(parts(F.col("outside")).alias("outer"), parts(F.lit(True)).alias("all")).where("outer > 0")
+    cut = rows.join(sizes, "hub")
+    part, every = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["doc_id", "label", "n", "delta", "outside"]
+    others = cut.select("hub", part("all").alias("other"), every("outer").alias("part"), *columns, F.lit(False).alias("asks"))
+    asking = cut.where(F.col("outside") & (F.col("all") > 1)).select("hub", every("all").alias("other"), part("outer").alias("part"), *columns, F.lit(True).alias("asks"))
 
     def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, label, n = (table[c].to_numpy() for c in ("doc_id", "label", "n"))
-        if len(doc) < 2 or label.min() == label.max():
+        doc, label, n = (table[c].to_numpy().copy() for c in ("doc_id", "label", "n"))
+        asks, outside = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "outside"))
+        if label.min() == label.max():
             return
-        parts = [np.frombuffer(d, U64) for d in table["delta"].to_pylist()]
-        size = np.array([len(x) for x in parts])
-        element, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
-        rep, inv = ragged.dedupe(element)
-        common = np.bincount(inv) > 1
-        column = np.cumsum(common) - 1
-        some = common[inv]
-        incidence = np.zeros((len(doc), max(1, int(common.sum()))), np.float32)
-        incidence[owner[some], column[inv[some]]] = 1
-        reached = np.zeros(len(doc), bool)
-        for root in range(len(doc)):  # a spanning forest of the links
-            todo = [] if reached[root] else [root]
-            reached[root] = True
-            while todo:
-                i = todo.pop()
-                far = size[i] + size - 2 * (incidence @ incidence[i]).astype(np.int64)
-                new = np.flatnonzero(~reached & ((100 - p) * (n[i] + n) >= (100 + p) * far))
-                if len(new):
-                    reached[new] = True
-                    todo += new.tolist()
-                    yield edge_batch(np.full(len(new), doc[i]), doc[new])
-
-    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield matching.packed_batch([(0, matching.pack([batch.column("key").to_numpy()]))])
-
-    # one end of a link between components is outside the hub's: members at home meet it under its elements only
-    outside = shared.stored(spread(rows.where("label <> home")), "outside")
-    sieve = matching.Sieve(outside.select("key").mapInArrow(packed, matching.PACKED), "<i8", outside.count())
-    keyed = outside.union(spread(rows.where("label = home"), sieve.tester()))
-    return shared.stored(by_group(keyed.repartition("key").sortWithinPartitions("key"), ["key"], each).distinct(), "difference-links", {})
-
-
-def by_group(rows: DataFrame, keys: list[str], run) -> DataFrame:
-    """Applies ``run`` to the rows of each key, which are together and in order; gives ``a, b``."""
+        deltas = table["delta"].to_pylist()
+        size = np.array([len(d) for d in deltas], np.int64) // 8
+        begin = np.cumsum(size) - size
+        _, element = ragged.dedupe(np.frombuffer(b"".join(deltas), U64))
+        owner = np.repeat(np.arange(len(doc)), size)
+        held = ~asks[owner]
+        order = np.argsort(element[held], kind="stable")
+        under = owner[held][order]  # the other members under each element, one element after the other
+        count = np.bincount(element[held], minlength=int(element.max(initial=-1)) + 1)
+        first = np.cumsum(count) - count
+        for i in np.flatnonzero(asks if asks.any() else outside).tolist():
+            own = element[begin[i] : begin[i] + size[i]]
+            both = np.bincount(under[ragged.spread(first[own], count[own])], minlength=len(doc))
+            ok = np.flatnonzero(((100 - p) * (n[i] + n) >= (100 + p) * (size[i] + size - 2 * both)) & ~asks & (label != label[i]))
+            if len(ok):
+                found, at = np.unique(label[ok], return_index=True)
+                yield edge_batch(np.full(len(at), doc[i]), doc[ok[at]])
+                label[np.isin(label, found)] = label[i]
+
+    dealt = others.union(asking).repartition("hub", "part", "other").sortWithinPartitions("hub", "part", "other")
+    return shared.stored(by_group(dealt, ["hub", "part", "other"], each).distinct(), "difference-links", {})
+
+
+def by_group(rows: DataFrame, keys: list[str], run, schema: str = EDGE) -> DataFrame:
+    """Applies ``run`` to the rows of each key, which are together and in order; gives ``a, b`` or the columns of ``schema``."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -359,7 +334,7 @@ def by_group(rows: DataFrame, keys: list[str], run) -> DataFrame:
         if held:
             yield from run(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(each, EDGE)
+    return rows.mapInArrow(each, schema)
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,54 +398,81 @@ def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes
     return named, members, hot
 
 
+def nearest(reg: np.ndarray) -> int:
+    """The row that has most of the most common registers."""
+    score = np.zeros(len(reg), np.int64)
+    for k in range(REGISTERS):
+        _, inv, n = np.unique(reg[:, k], return_inverse=True, return_counts=True)
+        score += inv == np.argmax(n)
+    return int(np.argmax(score))
+
+
+MEMBER = "key long, doc_id long, label long, registers binary"
+
+
 def group_links(named: DataFrame, members, hot: dict[int, int], percent: int, mode: str) -> DataFrame:
     """Links to try within bands.  ``tries``: in groups of FEW at most, all pairs across components that the estimate leaves
-    possible; in larger ones those with the member nearest to the most common registers.  ``hubs``: in larger groups, that
-    member with every other.  Very large bands are cut into pairs of parts, so that any two members meet."""
+    possible; in larger ones those with the hub, the member nearest to the most common registers.  ``hubs``: in larger groups,
+    the hub with every other.  Of very large bands one part elects the hub, which then meets all members where they are."""
+    large = np.array(sorted(hot), np.int64)
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(sorted(hot), np.int64)
-        counts = np.array([hot[k] for k in sorted(hot)], np.int64)
+    def known(keys: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return is_member(key, keys) if len(keys) else np.zeros(len(key), bool)
+
+    def electors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in members(batches):
             key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-            n = np.ones(len(key), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                n = np.where(keys[at] == key, counts[at], 1)
-            part = (ragged.mix(doc.view(U64)) % n.astype(U64)).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            other = ragged.spread(np.zeros(len(n), np.int64), n)
-            low, high = np.minimum(part[row], other), np.maximum(part[row], other)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(low << 32 | high), *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "label", "registers"))], ["key", "part", "doc_id", "label", "registers"])
+            part = np.array([hot.get(k, 0) for k in key.tolist()], np.int64)
+            yield batch.filter(pa.array((part > 0) & (ragged.mix(doc.view(U64)) % np.maximum(part, 1).astype(U64) == 0)))
+
+    def elect(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from table.slice(nearest(register_matrix(table["registers"])), 1).combine_chunks().to_batches()
+
+    elected = []
+    if len(large):
+        elected = by_group(named.mapInArrow(electors, MEMBER).repartition("key").sortWithinPartitions("key", "doc_id"), ["key"], elect, MEMBER).collect()
+    elected = sorted(elected, key=lambda r: r.key)
+    keys, hubs, homes = (np.array([r[k] for r in elected], np.int64) for k in range(3))
+    central = np.frombuffer(b"".join(bytes(r.registers) for r in elected), np.uint16).reshape(-1, REGISTERS)
 
     def possible(sim: np.ndarray, used: np.ndarray) -> np.ndarray:
         t = percent / 100
         return sim >= t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
-    def links(doc: np.ndarray, label: np.ndarray, reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(doc) <= FEW:
-            x, y = np.nonzero(possible(*estimate(reg[:, None], reg[None])) & (label[:, None] < label[None]))
-            return doc[x], doc[y]
-        score = np.zeros(len(doc), np.int64)
-        for k in range(REGISTERS):
-            _, inv, n = np.unique(reg[:, k], return_inverse=True, return_counts=True)
-            score += inv == np.argmax(n)
-        hub = int(np.argmax(score))
-        keep = possible(*estimate(reg, reg[hub])) & (label != label[hub]) if mode == "tries" else np.arange(len(doc)) != hub
-        return np.full(int(keep.sum()), doc[hub]), doc[keep]
+    def star(doc: np.ndarray, label: np.ndarray, reg: np.ndarray, hub: np.ndarray, home: np.ndarray, middle: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = possible(*estimate(reg, middle)) & (label != home) if mode == "tries" else doc != hub
+        a, b = hub[keep], doc[keep]
+        if len(a):
+            # a star's hub stays first
+            yield edge_batch(a, b) if mode == "hubs" else edge_batch(np.minimum(a, b), np.maximum(a, b))
+
+    def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in members(batches):
+            batch = batch.filter(pa.array(known(keys, batch.column("key").to_numpy())))
+            at = np.searchsorted(keys, batch.column("key").to_numpy())
+            reg = register_matrix(batch.column("registers"))
+            yield from star(batch.column("doc_id").to_numpy(), batch.column("label").to_numpy(), reg, hubs[at], homes[at], central[at])
+
+    def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in members(batches):
+            yield batch.filter(pa.array(~known(keys, batch.column("key").to_numpy())))
 
     def each(table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy()
         if len(doc) < 2 or label.min() == label.max() or mode == "hubs" and len(doc) <= FEW:
             return
-        a, b = links(doc, label, register_matrix(table["registers"]))
-        if len(a):
-            # a star's hub stays first
-            yield edge_batch(a, b) if mode == "hubs" else edge_batch(np.minimum(a, b), np.maximum(a, b))
+        reg = register_matrix(table["registers"])
+        if len(doc) > FEW:
+            hub = np.full(len(doc), nearest(reg))
+            yield from star(doc, label, reg, doc[hub], label[hub], reg[hub])
+            return
+        x, y = np.nonzero(possible(*estimate(reg[:, None], reg[None])) & (label[:, None] < label[None]))
+        if len(x):
+            yield edge_batch(np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y]))
 
     # by doc_id too, so that of members with equal registers the same one is the hub in both modes
-    dealt = named.mapInArrow(deal, "key long, part long, doc_id long, label long, registers binary")
-    return by_group(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id"), ["key", "part"], each).distinct()
+    links = by_group(named.mapInArrow(rest, MEMBER).repartition("key").sortWithinPartitions("key", "doc_id"), ["key"], each)
+    return (links.union(named.mapInArrow(stars, EDGE)) if elected else links).distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
