@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ragged
+from . import ragged, shared
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 #: Characters that prose has few of; fixed values.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: At most so many identifiers are broadcast, after they have been counted; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Scores are counted in bins of this width first; only the bins' totals reach the driver.
+BIN = 1 / 256
 
 
 def split_words(text: Column) -> Column:
@@ -40,9 +44,8 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing:
 
     The corpus is smoothed by ``smoothing`` for each bucket, the trusted part by as much in all, shared as the corpus is: with
     few trusted documents ratios tend to 1, not to the smoothing.
-    ``trusted`` holds at most a bounded number of identifiers (see sample_of()), so it is broadcast.
     """
-    marked = docs.join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    marked = docs.join(few(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
     cut = marked.select(hashed(split_words(F.col("text"))).alias("hashes"), F.coalesce("good", F.lit(0)).alias("good")).withColumn("pairs", paired(F.col("hashes")))
     grams = cut.select(F.explode(features(buckets)).alias("bucket"), "good")
     counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")).collect()
@@ -58,12 +61,16 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing:
     return weights
 
 
-def sample_of(labels: DataFrame, half: int, most: int) -> DataFrame:
-    """``doc_id, good`` of at most ``most`` labelled documents of one half of the labels; half and sample go by a hash of the
-    identifier.  A document that has both labels, or none, has none here."""
+def few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def labelled(labels: DataFrame, half: int) -> DataFrame:
+    """``doc_id, good`` of all labelled documents of one half of the labels, by a hash of the identifier.  A document that has
+    both labels, or none, has none here."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     one = known.agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").select("doc_id", (F.col("low") == 1).alias("good"))
-    return one.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == half).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return one.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == half)
 
 
 def best_threshold(scores: list[tuple[float, bool]]) -> float:
@@ -110,21 +117,41 @@ def mean_ratio(weights: list[float]) -> tuple[Column, Column]:
     return F.aggregate("grams", F.lit(0.0), lambda acc, b: acc + F.get(table, b)), F.when(F.size("grams") > 0, F.col("total") / F.size("grams")).otherwise(0.0)
 
 
+def threshold_of(scored: DataFrame) -> float:
+    """best_threshold() of all rows ``score, good``, without bringing them to the driver."""
+    counted = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    counted = shared.stored(counted.withColumn("bin", F.floor(F.col("score") / BIN).cast("long")), "scores", {})
+    bins = counted.groupBy("bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).orderBy("bin").collect()
+    n_good, n_bad = sum(r.good for r in bins), sum(r.bad for r in bins)
+    if not n_good or not n_bad:
+        return -math.inf
+    before, good, bad = [], 0, 0
+    for r in bins:
+        before.append((r.bin, good, bad))
+        good, bad = good + r.good, bad + r.bad
+    below = counted.sparkSession.createDataFrame(before, "bin long, good_before long, bad_before long")
+    up_to = lambda c: F.col(f"{c}_before") + F.sum(c).over(Window.partitionBy("bin").orderBy("score"))
+    value = up_to("bad") * n_good - up_to("good") * n_bad
+    best = counted.join(F.broadcast(below), "bin").select("score", value.alias("value")).orderBy(F.desc("value"), "score").first()
+    if best.value <= 0:
+        return -math.inf
+    return (best.score + counted.where(F.col("score") > best.score).agg(F.min("score")).first()[0]) / 2
+
+
 def fit_threshold(docs: DataFrame, held_out: DataFrame, weights: list[float], buckets: int) -> float:
-    """best_threshold() on labelled documents that are not among the trusted; their scores reach the driver."""
+    """The best threshold of all labelled documents that are not among the trusted."""
     total, mean = mean_ratio(weights)
-    some = docs.join(F.broadcast(held_out), "doc_id").select("good", hashed(split_words(F.col("text"))).alias("hashes"))
+    some = docs.join(few(held_out), "doc_id").select("good", hashed(split_words(F.col("text"))).alias("hashes"))
     scored = some.withColumn("pairs", paired(F.col("hashes"))).withColumn("grams", features(buckets)).withColumn("total", total).select(mean.alias("score"), "good")
-    return best_threshold([(r.score, r.good) for r in scored.collect()])
+    return threshold_of(scored)
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, smoothing: float = 0.5, most: int = 20_000, carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, buckets: int = 1 << 16, smoothing: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Rule counts, and the mean log likelihood ratio of the document's hashed n-grams.
 
-    The trusted multinomial is that of the good ones among at most ``most`` labelled documents of one half of the labels; the
-    other is that of all documents.  ``score`` is the mean over the document's unigrams and bigrams of words, so length has no
+    The trusted multinomial is that of all good documents of one half of the labels; the other is that of all documents.  ``score`` is the mean over the document's unigrams and bigrams of words, so length has no
     influence, and 0 where there are none.  A document passes the method if ``score >= threshold``, by default the one that
-    parts at most ``most`` documents of the other half of the labels best, and is kept if it also passes the base rules: at
+    parts all documents of the other half of the labels best, and is kept if it also passes the base rules: at
     least 20 words (so null and empty texts fail) and at most 30 % of them in repeated windows of 8 words.  Without labels all
     scores are 0 and pass.
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score``.  A map over
@@ -133,9 +160,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float | None = None, bu
     carry = carry or []
     docs = ragged.documents(docs, carry)
     plain = docs.select("doc_id", "text")
-    weights = ratio_weights(plain, sample_of(labels, 0, most).where("good").select("doc_id"), buckets, smoothing)
+    weights = ratio_weights(plain, labelled(labels, 0).where("good").select("doc_id"), buckets, smoothing)
     if threshold is None:
-        threshold = fit_threshold(plain, sample_of(labels, 1, most), weights, buckets)
+        threshold = fit_threshold(plain, labelled(labels, 1), weights, buckets)
     total, mean = mean_ratio(weights)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)

@@ -183,6 +183,21 @@ def test_threshold():
     assert quality.best_threshold([(1.0, False), (1.0, True), (3.0, True)]) == 2.0
 
 
+def test_all_labels_count(spark):
+    """Of 60,000 labels none is left out, and the threshold is that of all scores."""
+    import random
+
+    ids = spark.range(60_000)
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("quality"))
+    assert sum(quality.labelled(labels, half).count() for half in (0, 1)) == 60_000
+    r = random.Random(2)
+    for digits in (1, 6):
+        scores = [(round(r.gauss(good, 1), digits), bool(good)) for good in [0, 1] * 700]
+        assert quality.threshold_of(spark.createDataFrame(scores, "score double, good boolean")) == quality.best_threshold(scores)
+    for scores in ([(0.1, True), (0.2, True)], [(0.5, True), (0.5, False)], [(-1.0, True), (1.0, False)], [(-3.0, False), (2.0, True)]):
+        assert quality.threshold_of(spark.createDataFrame(scores, "score double, good boolean")) == quality.best_threshold(scores)
+
+
 def test_quality_on_labels_apart(spark):
     """Junk of other words is told from prose by labels that neither the weights nor the threshold have seen."""
     import random
