@@ -89,6 +89,18 @@ def test_search_page_references_without_semicolon():
     assert html.bing(html.parse(box)).rows == [("x &amp", "https://ex.com/?a=1&copy=2&b=3", "y &quot")]
 
 
+def test_search_page_white_space():
+    """No-break and other wide spaces stay, as in SQL."""
+    import duckdb
+
+    from fedrank.plans import oracle
+
+    for text in ("\u00a0a\u00a0 b\t\n c\u2003", "x\x0by", " \u3000 z"):
+        box = f"<li class='b_algo'><h2><a href='https://ex.com/'>{text}</a></h2><div class='b_caption'><p>{text}</p></div></li>"
+        want = duckdb.execute(f"SELECT {oracle.FLAT('t')} FROM (SELECT ? AS t)", [text]).fetchone()[0]
+        assert html.bing(html.parse(box)).rows == [(want, "https://ex.com/", want)]
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
