@@ -58,6 +58,27 @@ def test_seats_of_all_sizes():
     assert t[-1] == pytest.approx(1 + 2 / 0.5, rel=0.2)  # one, and a Poisson variable of mean alpha / discount
 
 
+def log_stirling(c, d):
+    """Logarithms of generalised Stirling numbers of ``c`` customers at 1 to ``c`` tables."""
+    row = np.zeros(1)
+    for n in range(1, c):
+        row = np.logaddexp(np.append(row + np.log(n - np.arange(1, n + 1) * d), -np.inf), np.insert(row, 0, -np.inf))
+    return row
+
+
+@pytest.mark.parametrize("c, alpha, d", [(200, 2000.0, 0.6), (500, 0.2, 0.9), (700, 1e5, 0.6), (1500, 40.0, 0.7), (1500, 3.0, 0.1), (1500, 4000.0, 0.5)])
+def test_all_customers_of_large_dishes_are_seated_anew(c, alpha, d):
+    n = 4000
+    t = seating.tables(np.full(n, c), np.full(n, alpha), d, np.arange(n, dtype=U64) * U64(7919))
+    p = log_stirling(c, d) + np.arange(1, c + 1) * np.log(alpha)
+    p = np.exp(p - p.max())
+    p /= p.sum()
+    mean = p @ np.arange(1, c + 1)
+    sd = np.sqrt(p @ (np.arange(1, c + 1) - mean) ** 2)
+    assert abs(t.mean() - mean) < 5 * sd / np.sqrt(n) + 1e-9
+    assert t.std() == pytest.approx(sd, rel=0.1)
+
+
 def test_seats_do_not_depend_on_neighbours():
     rng = np.random.default_rng(4)
     c, alpha, key = rng.zipf(1.6, 3000).clip(0, 10_000), rng.random(3000) * 3, rng.integers(0, 1 << 62, 3000).astype(U64)
