@@ -199,13 +199,14 @@ class Sieve:
         bits, slot = self.bits, self.slot
 
         def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(bits, bool)
+            raw = np.zeros((bits >> 15, 4096), np.uint8)
             for batch in batches:
                 for p in batch.column("payload").to_pylist():
-                    seen[slot(unpack(p, kinds)[0], bits)] = True
-            raw = np.packbits(seen.reshape(-1, 32768), axis=1, bitorder="little")
+                    at = slot(unpack(p, kinds)[0], bits)
+                    np.bitwise_or.at(raw.reshape(-1), at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             some = np.flatnonzero(raw.any(1))
-            yield packed_batch([(int(k), raw[k].tobytes()) for k in some])
+            for a in range(0, len(some), 256):
+                yield packed_batch([(int(k), raw[k].tobytes()) for k in some[a : a + 256]])
 
         parts = packed.where("bucket >= 0").mapInArrow(mark, PACKED).groupBy("bucket").agg(F.bitmap_or_agg("payload").alias("payload"))
         whole = np.zeros((bits // 32768, 4096), np.uint8)

@@ -39,6 +39,8 @@ MARGIN = 4.5
 #: Members of a group that one task compares, and bytes of differences from a hub.
 PART = 4096
 PART_BYTES = 16 << 20
+#: Classes whose bands are handled at a time, and rows of bands that a task gathers before it sends them.
+SOME, STAR_ROWS = 1024, 1 << 17
 #: Groups of at most so many members try pairs, larger ones differences from a hub.
 FEW = 32
 
@@ -109,6 +111,13 @@ def register_matrix(col: pa.Array) -> np.ndarray:
     return ragged.string_buffers(col)[0].view(np.uint16).reshape(-1, REGISTERS)
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SOME rows at most: a class has up to 32 bands, each of which may be sent with all registers."""
+    for batch in batches:
+        for a in range(0, len(batch), SOME):
+            yield batch.slice(a, SOME)
+
+
 def band_keys(reg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands that have a register, and the row of each."""
     n = len(reg)
@@ -144,13 +153,11 @@ def first_stars(classes: DataFrame, n_buckets: int) -> DataFrame:
             out += [(b, matching.pack(c)) for b, c in matching.dealt((key[first] % U64(n_buckets)).astype(np.int64), [key[first], rep[first]])]
             yield matching.packed_batch(out)
 
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches):
             key, row = band_keys(register_matrix(batch.column("registers")))
             held.append((key, batch.column("doc_id").to_numpy()[row]))
             rows += len(key)
-            if rows >= matching.FLUSH_ROWS:
+            if rows >= STAR_ROWS:
                 yield from flush()
                 held, rows = [], 0
         if held:
@@ -287,11 +294,10 @@ def difference_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, width
         asks, outside = (table[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asks", "outside"))
         if label.min() == label.max():
             return
-        deltas = table["delta"].to_pylist()
-        size = np.array([len(d) for d in deltas], np.int64) // 8
-        begin = np.cumsum(size) - size
-        _, element = ragged.dedupe(np.frombuffer(b"".join(deltas), U64))
-        owner = np.repeat(np.arange(len(doc)), size)
+        data, offs = ragged.string_buffers(table["delta"])
+        begin, size = offs[:-1] // 8, np.diff(offs) // 8
+        element = ragged.dedupe(data.view(U64))[1].astype(np.int32)
+        owner = np.repeat(np.arange(len(doc), dtype=np.int32), size)
         held = ~asks[owner]
         order = np.argsort(element[held], kind="stable")
         under = owner[held][order]  # the other members under each element, one element after the other
@@ -384,9 +390,7 @@ def open_groups(classes: DataFrame, labels: DataFrame, n_buckets: int, n_classes
     test = matching.Sieve(unsettled, "<i8 <u4", 4 * n_classes).tester()
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in pieces(batches):
             reg = register_matrix(batch.column("registers"))
             key, row = band_keys(reg)
             keep = test(key.view(np.int64))

@@ -77,3 +77,16 @@ def test_differences_find_all_links(spark, part_bytes, monkeypatch):
     assert len(set(map(root, texts))) > 5 and (part_bytes < 1 << 20 or sent == [len(texts)])
     shared_sets = {i: set(brute.shingles(t)) for i, t in texts.items()}
     assert all(100 * len(shared_sets[a] & shared_sets[b]) >= 85 * len(shared_sets[a] | shared_sets[b]) for a, b in found)
+
+
+def test_open_bands_are_sent_in_bounded_batches(spark):
+    """A batch of classes that are in many open bands would else become one batch with up to 32 times its rows."""
+    n = 4 * minhash.SOME + 1
+    same = np.full(minhash.REGISTERS, 5, np.uint16).tobytes()
+    classes = spark.createDataFrame([(i, same) for i in range(n)], "doc_id long, registers binary")
+    _, members, _ = minhash.open_groups(classes, spark.createDataFrame([], "node long, label long"), 4, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([same] * n, pa.binary())], ["doc_id", "label", "registers"])
+    out = list(members([batch]))
+    assert sum(map(len, out)) == 32 * n
+    assert max(map(len, out)) <= 32 * minhash.SOME
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == [i for i in range(n) for _ in range(32)]
